@@ -51,3 +51,19 @@ def one_of_each(df: DataFrame, *keys: str) -> DataFrame:
     order = "__one_of_each"
     w = Window.partitionBy(*keys).orderBy(F.lit(1))
     return df.withColumn(order, F.row_number().over(w)).filter(F.col(order) == 1).drop(order)
+
+
+#: A key with at least this share of all rows counts as hot; so there are that many of them at most.
+HOT_SHARE = 512
+
+
+def meet(rows: DataFrame, decided: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of rows with one decision per key, of whose ``size`` rows a hot key may have a third of all.
+
+    Hot keys, HOT_SHARE at most by their definition, are broadcast, so that their rows stay where
+    they are; all others are joined by a shuffle in which no key has more than 1/HOT_SHARE of the rows.
+    """
+    total = decided.agg(F.sum(size)).first()[0] or 0
+    hot = decided.filter(F.col(size) * HOT_SHARE >= F.lit(max(total, 2 * HOT_SHARE)))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(decided, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

@@ -6,9 +6,8 @@ against the index leaves the digests it doesn't hold, and these are appended.
 The index side of every join is read bucket by bucket, without a shuffle.
 
 Only DataFrame operations are used. A digest that holds a large share of all
-rows is no hot spot: copies are counted before the shuffle, and the digests of
-at least 1/HOT_SHARE of the batch (HOT_SHARE of them at most, hence bounded)
-reach their rows by a broadcast.
+rows is no hot spot: copies are counted before the shuffle, and decisions on the
+few largest groups reach their rows by a bounded broadcast (``common.meet``).
 """
 
 from __future__ import annotations
@@ -18,9 +17,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import ascii_lower, one_of_each, written
+from assayframe.llm.common import ascii_lower, meet, one_of_each, written
 
-HOT_SHARE = 512
 INDEX_SCHEMA = "digest string, keep_id long, batch long"
 
 
@@ -73,9 +71,7 @@ class DigestIndex:
 
         known = self.table().withColumnRenamed("digest", "text_sha256").hint("merge")
         decided = groups.drop("new_id").join(known, "text_sha256")
-        total = groups.agg(F.sum("group_size")).first()[0] or 0
-        hot = decided.filter(F.col("group_size") * HOT_SHARE >= F.lit(max(total, 2 * HOT_SHARE)))
-        out = _meet(rows, hot.select("text_sha256"), decided, hot)
+        out = meet(rows, decided, "text_sha256", "group_size")
         mine = (F.col("batch") == batch) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
         return out.select(
             "doc_id",
@@ -87,13 +83,6 @@ class DigestIndex:
         ).select("doc_id", "keep_id", "group_size", (F.col("mine") & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
-def _meet(rows: DataFrame, hot_keys: DataFrame, decided: DataFrame, hot: DataFrame) -> DataFrame:
-    """Rows with their group's decision: hot groups by broadcast, the rest by a shuffle."""
-    by_hot = rows.join(F.broadcast(hot), "text_sha256")
-    rest = rows.join(F.broadcast(hot_keys), "text_sha256", "left_anti").join(decided, "text_sha256")
-    return by_hot.unionByName(rest)
-
-
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batch: int = 0) -> DataFrame:
     """``docs`` without the rows that repeat a text; all columns stay as they are."""
     index = index or DigestIndex(docs.sparkSession)

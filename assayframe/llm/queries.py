@@ -13,8 +13,26 @@ def op4_exact_dedup(spark, sf_dir):
     return DigestIndex(spark).add(table(spark, sf_dir, "documents"))
 
 
+def op1_packing(spark, sf_dir):
+    from public_tokenizers import path
+
+    from assayframe.llm.packing import pack, tokenise
+
+    pieces = pack(tokenise(table(spark, sf_dir, "documents"), path("word_bpe_49k.json")))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_simhash(spark, sf_dir):
+    from assayframe.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_simhash": op6_simhash,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
