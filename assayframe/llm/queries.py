@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from assayframe.llm.common import table
 
 
+def op2_warc(spark, sf_dir):
+    from assayframe.llm.warc import archive, read
+
+    records = read(archive(table(spark, sf_dir, "pages")), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_exact_dedup(spark, sf_dir):
     from assayframe.llm.exact_dedup import DigestIndex
 
@@ -29,6 +36,21 @@ def op6_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_chat(spark, sf_dir):
+    from assayframe.llm.chat import read_back, segments
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return read_back(segments(turns.unionByName(own)))
+
+
+def op9_url_filter(spark, sf_dir):
+    from assayframe.llm.urls import RULES, judge
+
+    return judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_suffix_repeats(spark, sf_dir):
     from assayframe.llm.repeats import remove_repeats
 
@@ -38,7 +60,10 @@ def op10_suffix_repeats(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_warc": op2_warc,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_chat": op7_chat,
+    "op9_url_filter": op9_url_filter,
     "op6_simhash": op6_simhash,
     "op10_suffix_repeats": op10_suffix_repeats,
 }
@@ -46,6 +71,19 @@ QUERIES = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op7_chat": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        m AS (SELECT *, length(regexp_replace(text, '[\\[\]<>]', '--', 'g')) + CASE role WHEN 'assistant' THEN 10 ELSE 15 END AS chars FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+        FROM m GROUP BY conv_id""",
+    "op2_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keep FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to FROM k""",
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
         n AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
