@@ -37,13 +37,34 @@ _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE
 _OTHER = re.compile("[^\x00-ſ]|<\\|")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if visible, else the next free one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Pieces(dict):
+    """Ids of pieces, each encoded when first asked for and remembered while there is room."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
+        if len(self) < CACHED_PIECES and len(piece) < 50:
+            self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
     The tokenizer lower-cases, drops white space and never joins across pieces
     (words, digits, runs of signs), so a text's ids are those of its pieces, one
-    after another. Pieces repeat far more often than texts, and each is encoded
-    once as long as there is room to remember it.
+    after another. Pieces repeat far more often than texts, and the tokenizer's
+    model is asked for each only once as long as there is room to remember it.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -51,21 +72,14 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 10_000):
-            for e in self.tokenizer.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+        self.pieces = _Pieces(self.tokenizer.model)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[t] if _OTHER.search(t) else _PIECE.findall(t.lower()) for t in texts]
-        new = list(set(itertools.chain.from_iterable(split)).difference(self.known))
-        ids = dict(zip(new, self._whole(new), strict=True))
-        if len(self.known) + len(new) <= CACHED_PIECES:
-            self.known.update((p, b) for p, b in ids.items() if len(p) < 50)
-        of = self.known.get
-        return [b"".join([of(p) or ids.get(p, b"") for p in pieces]) if ids else b"".join(map(of, pieces)) for pieces in split]
+        of = self.pieces.__getitem__
+        return [self._whole(t) if _OTHER.search(t) else b"".join(map(of, _PIECE.findall(t.lower()))) for t in texts]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
