@@ -14,6 +14,13 @@ def op2_warc(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_quality(spark, sf_dir):
+    from assayframe.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_exact_dedup(spark, sf_dir):
     from assayframe.llm.exact_dedup import DigestIndex
 
@@ -45,6 +52,13 @@ def op7_chat(spark, sf_dir):
     return read_back(segments(turns.unionByName(own)))
 
 
+def op8_toxicity(spark, sf_dir):
+    from assayframe.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("windows")
+
+
 def op9_url_filter(spark, sf_dir):
     from assayframe.llm.urls import RULES, judge
 
@@ -61,7 +75,9 @@ def op10_suffix_repeats(spark, sf_dir):
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
+    "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op7_chat": op7_chat,
     "op9_url_filter": op9_url_filter,
     "op6_simhash": op6_simhash,
