@@ -52,6 +52,19 @@ def op7_chat(spark, sf_dir):
     return read_back(segments(turns.unionByName(own)))
 
 
+def op5_decontamination(spark, sf_dir):
+    from assayframe.llm.decontaminate import find
+
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark, sf_dir):
+    """All stages over the whole corpus; a row per piece, with its ids' checksum in place of the ids."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir).withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
 def op8_toxicity(spark, sf_dir):
     from assayframe.llm.toxicity import fit, score
 
@@ -77,11 +90,13 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_decontamination": op5_decontamination,
     "op8_toxicity": op8_toxicity,
     "op7_chat": op7_chat,
     "op9_url_filter": op9_url_filter,
     "op6_simhash": op6_simhash,
     "op10_suffix_repeats": op10_suffix_repeats,
+    "pipeline": pipeline,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
