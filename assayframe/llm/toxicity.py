@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model | None, folds: int = 5, fold: int = 0, t
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
-                hits = [distance.hits(t) if distance else 0 for t in texts[a:b]]
+                hits = [distance.hits(t) if distance is not None else 0 for t in texts[a:b]]
                 scores = [model.score(h) if model else 0.0 for h in hits]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores, pa.float64()), pa.array(hits, pa.int64())], names=["doc_id", "score", "windows"])
 
