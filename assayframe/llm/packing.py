@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from assayframe.llm.common import written
 
 TOKENS_SCHEMA = "part int, local_start long, doc_id long, n_tokens long, ids binary"
-#: Distinct pieces whose ids a worker remembers, and characters handled at once: bounds on memory only.
-CACHED_PIECES, SLICE_CHARS = 400_000, 4_000_000
+#: Distinct pieces whose ids a worker remembers, and bytes handled at once: bounds on memory only.
+CACHED_PIECES, SLICE_BYTES = 400_000, 2_000_000
 
 #: The tokenizer's own split into pieces, for lower-cased text of characters up to U+017F.
 _LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ÿā-ſ", "0-9²³¹¼½¾", " \t\n\x0b\x0c\r\x85\xa0"
@@ -82,16 +83,15 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``limit`` characters, of one row at least."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t or "") > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``limit`` bytes, or of one row; so that a batch is never unpacked whole."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield start, end
+        start = end
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,9 +106,9 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = PieceEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for a, b in slices(texts):
-                ids = [x + end for x in encoder.encode([t or "" for t in texts[a:b]])]
+                ids = [x + end for x in encoder.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())

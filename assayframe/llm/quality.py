@@ -19,11 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from assayframe.llm.packing import slices
 from assayframe.llm.samples import held_out, labelled
 
 PER_CLASS, MAX_BYTES, MAX_LINES, STEPS = 1000, 50_000, 200, 150
+#: A byte takes some hundred while features are made.
+SLICE_BYTES = 1_000_000
 #: Bytes by kind: space, lower, upper, digit, common sign, other sign, part of a longer character.
 SPACE, LOWER, UPPER, DIGIT, COMMON, SIGN, WIDE = range(7)
 KIND = np.full(256, SIGN, np.uint8)
@@ -187,18 +190,17 @@ def with_score(docs: DataFrame, field: Field | None, column: str = "score", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(batch.num_columns - 1)
             out = np.full(len(texts), 0.5)
             if field is not None:
-                for a, b in slices(texts):
-                    out[a:b] = scores(field, [t or b"" for t in texts[a:b]])
+                for a, b in slices(texts, SLICE_BYTES):
+                    out[a:b] = scores(field, [t or b"" for t in texts.slice(a, b - a).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], schema=pa.schema([*list(batch.schema)[:-1], pa.field(column, pa.float64())]))
 
     own = docs.withColumn("__bytes", F.col(text_col).cast("binary"))
-    schema = docs.schema.add(column, "double", True) if column not in docs.columns else None
-    if schema is None:
+    if column in docs.columns:
         raise ValueError(f"the table has a column {column!r} already")
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def score(docs: DataFrame, field: Field | None, folds: int = 4, fold: int = 2, threshold: float = 0.7) -> DataFrame:

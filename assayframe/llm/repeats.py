@@ -95,14 +95,16 @@ def anchors(texts: DataFrame, depth: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(depth, gram)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts):
-                joined = b"".join(texts[a:b])
-                ends = np.cumsum([len(t) for t in texts[a:b]])
+            column = batch.column(2)
+            for a, b in slices(column):
+                texts = column.slice(a, b - a).to_pylist()
+                joined = b"".join(texts)
+                sizes = np.array([len(t) for t in texts], np.int64)
+                ends = np.cumsum(sizes)
                 start, n, anchor, key = find.of(np.frombuffer(joined, np.uint8), ends)
                 around = [xxhash.xxh3_64_intdigest(joined[s:e]) for s, e in zip(start.tolist(), (start + n + depth - 1).tolist(), strict=True)]
                 doc = np.searchsorted(ends, start, "right")
-                first = (ends - [len(t) for t in texts[a:b]])[doc]
+                first = (ends - sizes)[doc]
                 rows = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(key), pa.array(np.array(around, np.uint64).view(np.int64)), pa.array(start - first), pa.array(n.astype(np.int32)), pa.array((anchor - start).astype(np.int32))],
@@ -237,7 +239,7 @@ def remove_repeats(docs: DataFrame, depth: int = 200, gram: int = 64, crowd: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts.to_pylist()):
+            for a, b in slices(texts):
                 own = texts.slice(a, b - a).to_pylist()
                 runs = [merged(s) for s in batch.column(2).slice(a, b - a).to_pylist()]
                 kept = [b"".join(t[e:s] for e, s in zip([0, *(e for _, e in r)], [*(s for s, _ in r), len(t)], strict=True)) if r else t for t, r in zip(own, runs, strict=True)]

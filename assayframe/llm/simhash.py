@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts.to_pylist()):
+            for a, b in slices(texts):
                 fps = [fingerprint(t or b"", words) for t in texts.slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -123,7 +123,11 @@ def candidates(fps: DataFrame, crowd: int = 100_000) -> DataFrame:
         return lists.select("key", "fp")
     crowded = lists.join(F.broadcast(points), "key")
     other = F.when(F.col("k") == 0, _segment(fp, 1, SEGMENT_BITS)).otherwise(_segment(fp, 0, SEGMENT_BITS))
-    halves = F.array(*[F.transform(_ball(_segment(other, h, HALF_BITS), HALF_BITS), lambda p, h=h: F.xxhash64(F.col("key"), F.lit(h), p)) for h in range(2)])
+
+    def half(h: int):
+        return F.transform(_ball(_segment(other, h, HALF_BITS), HALF_BITS), lambda p: F.xxhash64(F.col("key"), F.lit(h), p))
+
+    halves = F.array(half(0), half(1))
     anew = crowded.select(F.explode(F.flatten(halves)).alias("key"), "fp")
     return lists.join(F.broadcast(points), "key", "left_anti").select("key", "fp").unionByName(anew)
 
@@ -191,7 +195,7 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts.to_pylist()):
+            for a, b in slices(texts):
                 fps = np.array([wide_fingerprint(t or b"", words) for t in texts.slice(a, b - a).to_pylist()], np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(fps[:, k]) for k in range(WIDE_WORDS)]], names=["doc_id", *[f"w{k}" for k in range(WIDE_WORDS)]])
 

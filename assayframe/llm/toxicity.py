@@ -34,7 +34,7 @@ from assayframe.llm.samples import held_out, labelled, without_copies
 
 PER_CLASS, MAX_BYTES = 1500, 20_000
 #: A gram must be in this share of the toxic sample at least, and be so many times as common there.
-LEAST_SHARE, LEAST_ODDS, COVER, MOST_GRAMS = 0.02, math.log(15), 3, 400
+LEAST_SHARE, LEAST_ODDS, COVER, MOST_GRAMS = 0.02, math.log(15), 6, 400
 COMMON_WORDS, NEAR_WORDS, ROUNDS, CACHED_WORDS = 150, 100, 6, 400_000
 
 _WORD = re.compile(r"[^\W\d_]{3,40}")
@@ -186,9 +186,9 @@ def score(docs: DataFrame, model: Model | None, folds: int = 5, fold: int = 0, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(model) if model else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for a, b in slices(texts):
-                hits = [distance.hits(t) if distance is not None else 0 for t in texts[a:b]]
+                hits = [distance.hits(t) if distance is not None else 0 for t in texts.slice(a, b - a).to_pylist()]
                 scores = [model.score(h) if model else 0.0 for h in hits]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores, pa.float64()), pa.array(hits, pa.int64())], names=["doc_id", "score", "windows"])
 
