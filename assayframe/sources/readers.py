@@ -27,7 +27,7 @@ def protein_aids(spark: SparkSession, path: str) -> DataFrame:
     """``Protein, AID`` from one JSON document per protein, the protein being the file's name."""
     raw = spark.read.schema("IdentifierList struct<AID: array<bigint>>").option("multiLine", True).json(path)
     protein = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(_aids)?\.json$", 1)
-    return raw.select(protein.alias("Protein"), F.explode("IdentifierList.AID").cast("string").alias("AID")).distinct()
+    return raw.select(protein.alias("Protein"), F.explode(F.col("IdentifierList.AID").cast("array<string>")).alias("AID")).distinct()
 
 
 def aid_cids(documents: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def aid_cids(documents: DataFrame) -> DataFrame:
     only = F.when(F.size("asked") == 1, F.element_at("asked", 1).cast("string"))
     named = entries.select("batch_no", F.coalesce(F.col("i.AID").cast("string"), only).alias("AID"), F.col("i.CID").alias("CIDs")).filter("AID is not null")
     last = named.groupBy("AID").agg(F.max("batch_no").alias("batch_no"))
-    return named.join(last, ["AID", "batch_no"]).select("AID", F.explode("CIDs").cast("string").alias("CID")).distinct()
+    return named.join(last, ["AID", "batch_no"]).select("AID", F.explode(F.col("CIDs").cast("array<string>")).alias("CID")).distinct()
 
 
 def titles(documents: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def assay_cells(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(cells, columns=["AID", "row_no", "pos", "column", "value"])
 
     aid = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1)
-    return spark.read.option("wholetext", True).text(path).select(aid.alias("AID"), "value").mapInPandas(split, CELLS)
+    return spark.read.text(path, wholetext=True).select(aid.alias("AID"), "value").mapInPandas(split, CELLS)
 
 
 def taxonomy(spark: SparkSession, path: str) -> DataFrame:
