@@ -169,19 +169,19 @@ MATCH = "array<struct<item_id:long,edits:int,begin:long,end:long>>"
 def with_matches(docs: DataFrame, block: Block, column: str, text_col: str = "text") -> DataFrame:
     """``docs``, all columns as they are, with one more of the given name: the block's passages in each whole text."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())]))
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared, at = docs.sparkSession.sparkContext.broadcast(block), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = shared.value.matches
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at).cast(pa.binary())
             for a, b in slices(texts):
                 found = [[dict(zip(("item_id", "edits", "begin", "end"), m, strict=True)) for m in find(t or b"")] for t in texts.slice(a, b - a).to_pylist()]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, kind)], schema=pa.schema([*list(batch.schema)[:-1], pa.field(column, kind)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], schema=pa.schema([*batch.schema, pa.field(column, kind)]))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("__bytes", F.col(text_col).cast("binary")).mapInArrow(run, f"{schema}, `{column}` {MATCH}")
+    return docs.mapInArrow(run, f"{schema}, `{column}` {MATCH}")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -188,19 +188,20 @@ def with_score(docs: DataFrame, field: Field | None, column: str = "score", text
     Repeated rows give repeated rows; an empty table gives an empty table.
     """
 
+    at = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at).cast(pa.binary())
             out = np.full(len(texts), 0.5)
             if field is not None:
                 for a, b in slices(texts, SLICE_BYTES):
                     out[a:b] = scores(field, [t or b"" for t in texts.slice(a, b - a).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], schema=pa.schema([*list(batch.schema)[:-1], pa.field(column, pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], schema=pa.schema([*batch.schema, pa.field(column, pa.float64())]))
 
-    own = docs.withColumn("__bytes", F.col(text_col).cast("binary"))
     if column in docs.columns:
         raise ValueError(f"the table has a column {column!r} already")
-    return own.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def score(docs: DataFrame, field: Field | None, folds: int = 4, fold: int = 2, threshold: float = 0.7) -> DataFrame:
