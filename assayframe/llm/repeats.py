@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import written
+from assayframe.llm.common import meet, written
 from assayframe.llm.packing import slices
 
 BASE, MIX = 0x9E3779B97F4A7C15 | 1, 0xFF51AFD7ED558CCD
@@ -189,9 +189,9 @@ def _crowded(rows: DataFrame, depth: int) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, depth: int = 200, gram: int = 64, crowd: int = 2_000) -> DataFrame:
     """``doc_id, body, spans``: per document the byte ranges (first, last past the end) of its repeated windows, unmerged."""
-    rows = anchors(texts, depth, gram)
-    twice = rows.groupBy("key").count().filter("count > 1").select("key")
-    rows = written(rows.join(twice, "key"), "anchors")
+    rows = written(anchors(texts, depth, gram), "anchors")
+    often = written(rows.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"), "anchor_counts")
+    rows = written(meet(rows, often, "key", "often").drop("often"), "repeated_anchors")
     one = F.min(F.struct("doc_id", "body", "at", "n", "into")).alias("one")
     groups = written(rows.groupBy("key", "around").agg(F.count("*").alias("size"), one), "surroundings")
     whole = rows.join(groups.filter("size > 1").select("key", "around"), ["key", "around"])
