@@ -165,13 +165,21 @@ def _verify(most: int):
     return _complete_lists(2, each)
 
 
-def _labelled(rows: DataFrame, fps: DataFrame, edges: DataFrame, node: str) -> DataFrame:
-    """Rows ``doc_id, fp`` with their component, from ``fps (fp, node, least_id, n)`` and links between nodes."""
-    roots = components(edges).withColumnRenamed("node", node)
-    rooted = written(fps.join(roots, node, "left").withColumn("root", F.coalesce("root", node)).select("fp", "least_id", "n", "root"), "rooted")
-    heads = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n").alias("component_size"))
+def _least():
+    """Aggregate: the row that stands for a group; the least doc_id, and of rows without one the least text hash."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "body")).alias("least")
+
+
+def _labelled(rows: DataFrame, fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows ``doc_id, body, fp`` with their component, from ``fps (fp, node, least, n)`` and links between nodes.
+
+    ``stands`` marks the rows that are the one that stands for the component.
+    """
+    rooted = written(fps.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")).select("fp", "least", "n", "root"), "rooted")
+    heads = rooted.groupBy("root").agg(F.min("least").alias("head"), F.sum("n").alias("component_size"))
     decided = meet(rooted.select("fp", "n", "root"), heads, "root", "component_size").drop("root")
-    return meet(rows, decided, "fp", "n").select("doc_id", "fp", "component_id", "component_size")
+    stands = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("body") == F.col("head.body"))
+    return meet(rows, decided, "fp", "n").select("doc_id", "body", "fp", F.col("head.doc_id").alias("component_id"), "component_size", stands.alias("stands"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, crowd: int = 100_000) -> DataFrame:
@@ -183,25 +191,29 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, crowd: int =
     """
     if most > 4:
         raise ValueError("the two segments' balls cover 4 differing bits at most")
-    rows = written(fingerprints(docs, words), "fingerprints")
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")).withColumn("node", F.col("fp")), "distinct_fps")
+    rows = written(fingerprints(docs, words), "fingerprints").withColumn("body", F.lit(0).cast("long"))
+    fps = written(rows.groupBy("fp").agg(_least(), F.count("*").alias("n")).withColumn("node", F.col("fp")), "distinct_fps")
     lists = candidates(fps.select("fp"), crowd).repartition("key").sortWithinPartitions("key")
-    return _labelled(rows, fps, lists.mapInArrow(_verify(most), "a long, b long"), "node")
+    return _labelled(rows, fps, lists.mapInArrow(_verify(most), "a long, b long")).drop("body", "stands")
 
 
 def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``doc_id, fp`` with fp a struct of four words, for every row."""
+    """``doc_id, body, fp`` for every row, with body a hash of the text and fp a struct of four words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             for a, b in slices(texts):
                 fps = np.array([wide_fingerprint(t or b"", words) for t in texts.slice(a, b - a).to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(fps[:, k]) for k in range(WIDE_WORDS)]], names=["doc_id", *[f"w{k}" for k in range(WIDE_WORDS)]])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in (0, 1)], *[pa.array(fps[:, k]) for k in range(WIDE_WORDS)]], names=["doc_id", "body", *names])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     names = [f"w{k}" for k in range(WIDE_WORDS)]
-    return own.mapInArrow(run, ", ".join(["doc_id long", *[f"{w} long" for w in names]])).select("doc_id", F.struct(*names).alias("fp"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _body().alias("body"), F.col("text").cast("binary").alias("text"))
+    return own.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "body", *names))).select("doc_id", "body", F.struct(*names).alias("fp"))
+
+
+def _body():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _complete_lists(columns: int, each):
@@ -263,12 +275,14 @@ def _verify_wide(most: int):
 
 
 def similar(docs: DataFrame, words: int = 5, most: int = WIDE_MOST) -> DataFrame:
-    """``doc_id, fp, component_id, component_size`` by wide fingerprints, for texts of a similarity of about 0.8 or more.
+    """``doc_id, body, fp, component_id, component_size, stands`` by wide fingerprints, for texts of a similarity of about 0.8 or more.
 
-    Rows link whose fingerprints differ in at most ``most`` of 256 bits and meet in a list; the rest is as in ``near_duplicates``.
+    Rows link whose fingerprints differ in at most ``most`` of 256 bits and meet in a list; component_id is as in
+    ``near_duplicates``. ``body`` is a hash of the text, and ``stands`` is true for the component's row of
+    the smallest doc_id, or without any of the smallest body, and for rows that repeat it.
     """
     rows = written(wide_fingerprints(docs, words), "wide_fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
+    fps = rows.groupBy("fp").agg(_least(), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
     fps = written(fps, "distinct_wide")
     segments = F.array(*[F.struct(F.lit(2 * k + j).cast("long").alias("k"), F.shiftrightunsigned(F.col(f"fp.w{k}"), WIDE_SEGMENT * j).bitwiseAND(F.lit((1 << WIDE_SEGMENT) - 1)).alias("value")) for k in range(WIDE_WORDS) for j in range(2)])
     own = fps.select(F.col("fp.w0").alias("w0"), F.explode(segments).alias("s"))
@@ -278,16 +292,12 @@ def similar(docs: DataFrame, words: int = 5, most: int = WIDE_MOST) -> DataFrame
     full = fps.select(F.col("fp.w0").alias("w0"), "node", *[F.col(f"fp.w{k}").alias(f"v{k}") for k in range(WIDE_WORDS)])
     full = sifted.join(full, "w0").select("key", "node", *[f"v{k}" for k in range(WIDE_WORDS)]).repartition("key").sortWithinPartitions("key")
     edges = full.mapInArrow(_complete_lists(2 + WIDE_WORDS, _verify_wide(most)), "a long, b long")
-    return _labelled(rows, fps, edges, "node")
+    return _labelled(rows, fps, edges)
 
 
 def deduplicate(docs: DataFrame, words: int = 5, most: int = WIDE_MOST) -> DataFrame:
-    """``docs`` with one row of each component of ``similar`` texts, that of the smallest doc_id; all columns stay as they are.
-
-    Of all rows without a doc_id in components where no row has one, one stays.
-    """
-    found = similar(docs, words, most)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    own = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    joined = own.join(kept, own["__id"].eqNullSafe(kept["__id"]), "left_semi")
-    return one_of_each(joined, "__id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row of each component of ``similar`` texts, the one that stands for it; all columns stay as they are."""
+    kept = similar(docs, words, most).filter("stands").select(F.col("doc_id").alias("__kept_id"), F.col("body").alias("__kept_body")).distinct()
+    own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__body": _body()})
+    joined = own.join(kept, own["__id"].eqNullSafe(kept["__kept_id"]) & (own["__body"] == kept["__kept_body"]), "left_semi")
+    return one_of_each(joined, "__id", "__body").select(*[F.col(f"`{c}`") for c in docs.columns])

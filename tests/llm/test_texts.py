@@ -186,13 +186,13 @@ def test_similar_texts_are_grouped_and_one_stays(spark):
             for _ in range(2 if c else 0):  # at most 10 of 146 shingles differ
                 w[r.randrange(150)] = f"changed{r.random()}"
             rows.append((10 * g + c, " ".join(w), "x"))
-    rows += [(1000, None, "x"), (1001, "", "x"), (1001, "", "x"), (None, "lonely words", "x")]
+    rows += [(1000, None, "x"), (1001, "", "x"), (1001, "", "x"), (None, "lonely words", "x"), (None, "other lonely words", "x"), (None, rows[0][1], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)
     found = {x.doc_id: x.component_id for x in simhash.similar(df).collect()}
     assert all(found[10 * g + c] == 10 * g for g in range(20) for c in range(3))
     kept = simhash.deduplicate(df)
     assert kept.columns == df.columns
-    assert sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == [*[(False, 10 * g) for g in range(20)], (False, 1000), (True, 0)]
+    assert sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == [*[(False, 10 * g) for g in range(20)], (False, 1000), (True, 0), (True, 0)]
 
 
 def test_near_duplicates_of_an_empty_table(empty):
