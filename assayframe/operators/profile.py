@@ -19,12 +19,13 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def origin(table: Column) -> Column:
+def origin(table: Column, tool: str) -> Column:
+    """What a table's name says of where it comes from; ``tool`` names the property tool that users' tables are called by."""
     low = F.lower(table)
-    return F.when(low == "main", "base").when(F.contains(low, F.lit("harmon")), "possible_harmonsmile").otherwise("derived_inferred")
+    return F.when(low == "main", "base").when(F.contains(low, F.lit(tool)), f"possible_{tool}").otherwise("derived_inferred")
 
 
-def statuses(table: Column, rows: Column, columns: Column, duplicate: Column) -> Column:
+def statuses(table: Column, rows: Column, columns: Column, duplicate: Column, tool: str) -> Column:
     """Status labels of a table, in a fixed order."""
     low, n = F.lower(table), F.size(columns)
     plain = F.transform(columns, lambda c: F.regexp_replace(F.lower(c), "[_ ]", ""))
@@ -36,7 +37,7 @@ def statuses(table: Column, rows: Column, columns: Column, duplicate: Column) ->
             F.when((n > 0) & (n <= 3), "few_columns"),
             F.when(has("temp") | has("stale"), "possible_temporary"),
             F.when(has("test"), "possible_test_table"),
-            F.when(both & (n <= 4), "possible_harmonsmile_output"),
+            F.when(both & (n <= 4), f"possible_{tool}_output"),
             F.when(duplicate, "possible_duplicate"),
         )
     )
@@ -55,11 +56,12 @@ def action(table: Column, status: Column, metadata_status: Column) -> Column:
     )
 
 
-def profile(tables: dict[str, DataFrame], metadata: DataFrame | None = None) -> DataFrame:
+def profile(tables: dict[str, DataFrame], metadata: DataFrame | None = None, tool: str = "property") -> DataFrame:
     """A row per table: rows, columns with types, role, origin, status labels and recommended action.
 
     ``metadata (table, role, origin)`` wins over what is inferred. Tables with the
-    same number of rows and the same columns are possible duplicates.
+    same number of rows and the same columns are possible duplicates; labels that name
+    the property tool in use do so by ``tool``.
     """
     spark = next(iter(tables.values())).sparkSession
     shapes = spark.createDataFrame([(n, d.columns, [t for _, t in d.dtypes]) for n, d in tables.items()], "table string, column_names array<string>, column_types array<string>")
@@ -71,7 +73,7 @@ def profile(tables: dict[str, DataFrame], metadata: DataFrame | None = None) ->
     else:
         named = metadata.select("table", F.col("role").alias("m_role"), F.col("origin").alias("m_origin"), F.lit(True).alias("known"))
         own = own.join(named, "table", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    status = statuses(F.col("table"), F.col("rows"), F.col("column_names"), F.col("alike") > 1)
+    status = statuses(F.col("table"), F.col("rows"), F.col("column_names"), F.col("alike") > 1, tool)
     out = own.select(
         "table",
         "rows",
@@ -79,7 +81,7 @@ def profile(tables: dict[str, DataFrame], metadata: DataFrame | None = None) ->
         "column_names",
         "column_types",
         F.coalesce("m_role", F.when(F.col("table") == "main", "base").otherwise("derived")).alias("role"),
-        F.coalesce("m_origin", origin(F.col("table"))).alias("origin"),
+        F.coalesce("m_origin", origin(F.col("table"), tool)).alias("origin"),
         F.when(F.col("known"), "registered").otherwise("inferred").alias("metadata_status"),
         status.alias("status"),
     )

@@ -272,7 +272,7 @@ def test_profiles(spark):
     t = {"main": spark.createDataFrame([(1, "1", "2")], "primary_id int, CID string, MW string"), "temp_x": spark.createDataFrame([("1", "C")], "CID string, SMILES string"), "temp_y": spark.createDataFrame([("1", "C")], "CID string, SMILES string"), "none": spark.createDataFrame([], "a int, b int, c int, d int")}
     p = {r.table: r for r in profile.profile(t).collect()}
     assert p["main"].recommended_action == "Keep as base" and p["main"].role == "base"
-    assert p["temp_x"].status == ["ok", "few_columns", "possible_temporary", "possible_harmonsmile_output", "possible_duplicate"] and p["temp_x"].recommended_action == "Review cleanup"
+    assert p["temp_x"].status == ["ok", "few_columns", "possible_temporary", "possible_property_output", "possible_duplicate"] and p["temp_x"].recommended_action == "Review cleanup"
     assert p["none"].status == ["structure_only"] and p["none"].recommended_action == "Review or delete"
     df = spark.createDataFrame([("1", "5"), ("2", " "), ("3", None)], "id string, v string")
     assert rows(profile.change_type(df, "v", "INTEGER"), "id") == [("1", 5), ("2", None), ("3", None)]
