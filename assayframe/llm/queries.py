@@ -102,6 +102,21 @@ QUERIES = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    # Every window of 200 bytes as 400 hexadecimal digits, by its hash; what is left is put together from the gaps between runs.
+    "op10_suffix_repeats": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT r, unnest(range(0, len(h) // 2 - 199)) AS i, h FROM d WHERE len(h) >= 400),
+        k AS (SELECT r, i, md5_number(substr(h, (2 * i + 1)::INT, 400)) AS m FROM w),
+        hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS n FROM k) WHERE n > 1),
+        s AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 200, -1) AS fresh FROM hit),
+        g AS (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM s),
+        runs AS (SELECT r, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, run),
+        kept AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs),
+        parts AS (SELECT k.r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(d.h, (2 * before + 1)::INT, (2 * (a - before))::INT), '' ORDER BY a) AS head, max(b) AS last
+            FROM kept k JOIN d ON d.r = k.r GROUP BY k.r)
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, (2 * last + 1)::INT) END)) AS kept_sha256
+        FROM d LEFT JOIN parts p ON d.r = p.r""",
     "op7_chat": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
