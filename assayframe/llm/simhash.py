@@ -13,10 +13,10 @@ halves of the other segment, in which linked fingerprints share a point too.
 
 Four bits of 64 are far fewer than texts of a similarity of 0.8 differ in:
 those differ in 15 % of a fingerprint's bits. For such a similarity there are wide
-fingerprints of 256 bits, in eight segments of 24. Segments of linked texts meet by
-balls of radius 1 with a chance of 28 % each at a similarity of 0.8, that is in
-92 % of pairs, and in 99.8 % at 0.9. Lists are first sifted by the first word
-alone, and what is left is verified by complete distances.
+fingerprints of 256 bits over the distinct shingles, listed under 200 permuted tables: the key of a table is
+18 bits of a fixed random choice. Lists are first sifted by the first word
+alone, then by complete distances, with a limit so loose that few pairs at 0.8 exceed it. The distance only
+nominates: within the components of nominated pairs the exact similarity of the shingle sets decides each link.
 """
 
 from __future__ import annotations
@@ -35,9 +35,13 @@ from assayframe.llm.packing import slices
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS, HALF_BITS = 2, 32, 16
-#: Wide fingerprints: 64-bit words, bits of a segment (two in a word), bits in which linked ones may differ, and
-#: bits in which their first words may (with 46 of 256 the fourth deviation above the mean).
-WIDE_WORDS, WIDE_SEGMENT, WIDE_MOST, FIRST_MOST = 4, 24, 46, 22
+#: Wide fingerprints: 64-bit words, bits in which nominated ones may differ (at a similarity of 0.8 the mean is 39
+#: of 256), and bits in which their first words may.
+WIDE_WORDS, WIDE_MOST, FIRST_MOST = 4, 64, 22
+#: Permuted tables and the bits of their keys; fingerprints listed at once.
+TABLES, TABLE_BITS, LIST_ROWS = 200, 18, 2_000
+#: A block of a component: its shingles, with so many added for each text.
+BLOCK_WEIGHT, TEXT_WEIGHT = 1_000_000, 250
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -74,16 +78,23 @@ def _majority(hashes: bytes, n: int) -> np.ndarray:
 
 
 def wide_fingerprint(text: bytes, words: int = 5) -> tuple[int, ...]:
-    """The same over 256 bits, as four signed 64-bit numbers."""
+    """The same over 256 bits and over the distinct shingles, as four signed 64-bit numbers."""
     parts = text.lower().split()
     if not parts:
         return (0,) * WIDE_WORDS
-    shingles = _shingles(parts, words)
+    shingles = set(_shingles(parts, words))
     digest = xxhash.xxh3_128_digest
     halves = [_majority(b"".join([digest(x, seed) for x in shingles]), len(shingles)) for seed in (SEED, SEED + 1)]
     return tuple(np.concatenate(halves).view(">i8").tolist())
 
 
+def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
+    """The distinct shingles' 64-bit hashes in order; one 0 for a text without words."""
+    parts = text.lower().split()
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([digest(x) for x in set(_shingles(parts, words))] if parts else [0], np.uint64).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` for every row; null text counts as empty, other columns are not read."""
 
@@ -274,30 +285,135 @@ def _verify_wide(most: int):
     return each
 
 
-def similar(docs: DataFrame, words: int = 5, most: int = WIDE_MOST) -> DataFrame:
-    """``doc_id, body, fp, component_id, component_size, stands`` by wide fingerprints, for texts of a similarity of about 0.8 or more.
+def table_keys(fps: np.ndarray) -> np.ndarray:
+    """The keys of fingerprints (rows of four words) in all tables, a row each."""
+    rng = np.random.default_rng(SEED)
+    place = np.zeros((64 * WIDE_WORDS, TABLES), np.float32)
+    for k in range(TABLES):
+        place[rng.choice(64 * WIDE_WORDS, TABLE_BITS, replace=False), k] = 2.0 ** np.arange(TABLE_BITS)
+    bits = np.unpackbits(fps.astype(">i8").view(np.uint8), axis=1).astype(np.float32)
+    return (bits @ place).astype(np.int64) | np.arange(TABLES, dtype=np.int64) << TABLE_BITS  # below 2^24 floats are exact
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+        for s in range(0, len(fps), LIST_ROWS):
+            some = fps[s : s + LIST_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(table_keys(some).ravel()), pa.array(np.repeat(some[:, 0], TABLES))], names=["key", "w0"])
+
+
+def _shingle_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            for a, b in slices(texts):
+                sets = pa.array([shingle_set(t or b"", words) for t in texts.slice(a, b - a).to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], sets], names=[*batch.schema.names[:-1], "shingles"])
+
+    return run
+
+
+def alike(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the other shingle sets have at least this Jaccard similarity with one."""
+    size = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    both = np.add.reduceat(hit, np.r_[0, size.cumsum()[:-1]], dtype=np.int64)
+    return both >= similarity * (size + len(one) - both) - 1e-9
+
+
+def _verify_sets(most: int, similarity: float):
+    """Runs over whole cells of ``cell, node``, words, shingles: a spanning forest of the links by exact similarity."""
+
+    def links(node: np.ndarray, fps: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        rest, todo = np.arange(1, len(node)), [0]
+        while todo and len(rest):
+            a = todo.pop()
+            same = differing(fps[rest], fps[a]).sum(1, dtype=np.int64) <= most
+            if same.any():
+                same[same] = alike(sets[a], [sets[b] for b in rest[same]], similarity)
+            yield from ((int(node[a]), int(node[b])) for b in rest[same])
+            todo.extend(rest[same].tolist())
+            rest = rest[~same]
+            if not todo and len(rest):
+                todo, rest = [int(rest[0])], rest[1:]
+
+    def each(numbers: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        start, size = _lists(numbers[:, 0])
+        found = [pair for s, n in zip(start.tolist(), size.tolist(), strict=True) for pair in links(numbers[s : s + n, 1], numbers[s : s + n, 2:], sets[s : s + n])]
+        out = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
-    Rows link whose fingerprints differ in at most ``most`` of 256 bits and meet in a list; component_id is as in
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, sets = np.empty((0, 2 + WIDE_WORDS), np.int64), []
+        for batch in batches:
+            *columns, shingles = batch.columns
+            ends, values = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+            numbers = np.concatenate([numbers, np.stack([c.to_numpy() for c in columns], axis=1)])
+            sets.extend(values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            if len(numbers):
+                cut = int(np.searchsorted(numbers[:, 0], numbers[-1, 0]))
+                yield each(numbers[:cut], sets[:cut])
+                numbers, sets = numbers[cut:], sets[cut:]
+        yield each(numbers, sets)
+
+    return run
+
+
+def exact_links(near: DataFrame, similarity: float, most: int, block: int = BLOCK_WEIGHT) -> DataFrame:
+    """Links ``a, b`` from ``node, root, v0.., shingles``: they connect what pairs of a root with that similarity connect.
+
+    A root of more than ``block`` is cut into blocks. Its members that are linked to the root itself need no look at each
+    other; every other block meets each block in a cell. So a large group of near copies costs one pass.
+    """
+    weight = F.size("shingles") + TEXT_WEIGHT
+    large = near.groupBy("root").agg(F.sum(weight).alias("weight")).filter(F.col("weight") > block)
+    heads = near.filter("node = root").join(F.broadcast(large.select("root")), "root", "left_semi").select("root", F.col("shingles").alias("head"))
+    both = F.size(F.array_intersect("shingles", "head"))
+    star = F.col("head").isNotNull() & (both >= similarity * (F.size("shingles") + F.size("head") - both) - 1e-9)
+    told = written(near.join(F.broadcast(heads), "root", "left").withColumn("star", F.coalesce(star, F.lit(False))).drop("head"), "starred")
+    blocks = lambda own: F.ceil(F.coalesce(F.sum(F.when(own, weight)), F.lit(0)) / F.lit(block))
+    counts = written(told.groupBy("root").agg(blocks(~F.col("star")).alias("others"), blocks(F.col("star")).alias("stars"), F.count("*").alias("n")), "block_counts")
+    dealt = meet(told, counts, "root", "n").filter("others > 0")
+    own = F.when(F.col("star"), F.col("others") + F.pmod(F.xxhash64("node"), F.greatest("stars", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
+    last = F.when(F.col("star"), F.col("others")).otherwise(F.col("others") + F.col("stars")) - 1
+    names = [f"v{k}" for k in range(WIDE_WORDS)]
+    dealt = dealt.select("root", "node", *names, "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    cells = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", *names, "shingles")
+    found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify_sets(most, similarity), "a long, b long")
+    return found.unionByName(told.filter("star").select(F.col("root").alias("a"), F.col("node").alias("b")))
+
+
+def similar(docs: DataFrame, words: int = 5, most: int = WIDE_MOST, similarity: float = 0.8, block: int = BLOCK_WEIGHT) -> DataFrame:
+    """``doc_id, body, fp, component_id, component_size, stands`` for texts whose shingle sets have that Jaccard similarity or more.
+
+    Rows are nominated whose wide fingerprints differ in at most ``most`` of 256 bits and meet in a list, and link if their
+    exact similarity suffices; equal fingerprints count as equal. component_id is as in
     ``near_duplicates``. ``body`` is a hash of the text, and ``stands`` is true for the component's row of
     the smallest doc_id, or without any of the smallest body, and for rows that repeat it.
     """
     rows = written(wide_fingerprints(docs, words), "wide_fingerprints")
     fps = rows.groupBy("fp").agg(_least(), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
     fps = written(fps, "distinct_wide")
-    segments = F.array(*[F.struct(F.lit(2 * k + j).cast("long").alias("k"), F.shiftrightunsigned(F.col(f"fp.w{k}"), WIDE_SEGMENT * j).bitwiseAND(F.lit((1 << WIDE_SEGMENT) - 1)).alias("value")) for k in range(WIDE_WORDS) for j in range(2)])
-    own = fps.select(F.col("fp.w0").alias("w0"), F.explode(segments).alias("s"))
-    keyed = F.transform(_ball(F.col("s.value"), WIDE_SEGMENT), lambda p: F.shiftleft(F.col("s.k"), WIDE_SEGMENT).bitwiseOR(p))
-    lists = own.select(F.explode(keyed).alias("key"), "w0").repartition("key").sortWithinPartitions("key")
+    lists = fps.select(*[f"fp.w{k}" for k in range(WIDE_WORDS)]).mapInArrow(_list, "key long, w0 long").repartition("key").sortWithinPartitions("key")
     sifted = written(lists.mapInArrow(_complete_lists(2, _sift), "key long, w0 long").distinct(), "sifted")
+    names = [f"v{k}" for k in range(WIDE_WORDS)]
     full = fps.select(F.col("fp.w0").alias("w0"), "node", *[F.col(f"fp.w{k}").alias(f"v{k}") for k in range(WIDE_WORDS)])
-    full = sifted.join(full, "w0").select("key", "node", *[f"v{k}" for k in range(WIDE_WORDS)]).repartition("key").sortWithinPartitions("key")
-    edges = full.mapInArrow(_complete_lists(2 + WIDE_WORDS, _verify_wide(most)), "a long, b long")
-    return _labelled(rows, fps, edges)
+    full = sifted.join(full, "w0").select("key", "node", *names).repartition("key").sortWithinPartitions("key")
+    nominated = components(full.mapInArrow(_complete_lists(2 + WIDE_WORDS, _verify_wide(most)), "a long, b long"))
+
+    wanted = fps.join(nominated, "node").select("node", "root", *[F.col(f"fp.w{k}").alias(f"v{k}") for k in range(WIDE_WORDS)], F.col("least.doc_id").alias("of_id"), F.col("least.body").alias("of_body"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _body().alias("body"), F.col("text").cast("binary").alias("text"))
+    texts = own.join(wanted, own["doc_id"].eqNullSafe(wanted["of_id"]) & (own["body"] == wanted["of_body"])).select("node", "root", *names, "text")
+    near = texts.mapInArrow(_shingle_sets(words), ", ".join(f"{c} long" for c in ("node", "root", *names)) + ", shingles array<long>")
+    near = written(near.dropDuplicates(["node"]), "near_sets")
+    return _labelled(rows, fps, exact_links(near, similarity, most, block))
 
 
-def deduplicate(docs: DataFrame, words: int = 5, most: int = WIDE_MOST) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, most: int = WIDE_MOST, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component of ``similar`` texts, the one that stands for it; all columns stay as they are."""
-    kept = similar(docs, words, most).filter("stands").select(F.col("doc_id").alias("__kept_id"), F.col("body").alias("__kept_body")).distinct()
+    kept = similar(docs, words, most, similarity).filter("stands").select(F.col("doc_id").alias("__kept_id"), F.col("body").alias("__kept_body")).distinct()
     own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__body": _body()})
     joined = own.join(kept, own["__id"].eqNullSafe(kept["__kept_id"]) & (own["__body"] == kept["__kept_body"]), "left_semi")
     return one_of_each(joined, "__id", "__body").select(*[F.col(f"`{c}`") for c in docs.columns])

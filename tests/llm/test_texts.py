@@ -195,6 +195,38 @@ def test_similar_texts_are_grouped_and_one_stays(spark):
     assert sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == [*[(False, 10 * g) for g in range(20)], (False, 1000), (True, 0), (True, 0)]
 
 
+def _shingled(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK_WEIGHT, 3000])
+def test_similar_texts_link_by_exact_similarity(spark, block):
+    """Pairs just above and below 0.8, and a large group whose members are near to its least one or to another."""
+    r, rows = random.Random(3), []
+    for g in range(150):
+        words = [f"w{r.randrange(10**6)}" for _ in range(120 + g)]
+        goal, other, at = r.choice([0.72, 0.76, 0.79, 0.8, 0.82, 0.84]), list(words), 0
+        while True:  # whole pieces from the front, until the next word would go below the goal
+            changed = [*[f"x{r.randrange(10**6)}" for _ in range(at + 1)], *words[at + 1 :]]
+            a, b = _shingled(" ".join(words)), _shingled(" ".join(changed))
+            if len(a & b) < goal * len(a | b):
+                break
+            other, at = changed, at + 1
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    base = [f"b{k}" for k in range(200)]
+    for c in range(60):  # words are replaced from the end on, up to a fifth of all
+        rows.append((5000 + c, " ".join([*base[: 200 - c], *[f"y{c}_{k}" for k in range(c)]])))
+    sets = {d: _shingled(t) for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and abs(a - b) <= 60 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    head = {d: d for d in sets}
+    for a, b in sorted(links * 8):
+        head[a] = head[b] = min(head[a], head[b])
+    assert 40 < sum(head[2 * g] == head[2 * g + 1] for g in range(150)) < 110
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert [d for d in sets if got[d] != head[d]] == []
+
+
 def test_near_duplicates_of_an_empty_table(empty):
     assert simhash.near_duplicates(empty).collect() == []
     assert simhash.deduplicate(empty).collect() == []
