@@ -6,16 +6,17 @@ wildcard, a suffix such as ``.html`` is kept. A template is a host with the
 generalised segments, and its prefixes are the nodes of a tree, the host's root
 being the shortest.
 
-Merging. Children of a node that differ in their last segment only become one
-wildcard branch where their labelled counts are alike: of at least ``support``
-labelled urls the bad share lies within ``alike`` standard errors of the share
-of all the node's children.
+Merging goes from the root down, and each level works on the merged prefixes of the one above.
+Children of a node with fewer than ``support`` labelled urls (user names, slugs, unlabelled ones) are
+pooled first. The pool and every other child are alike where they have at least ``support`` labelled urls and their bad
+share lies within ``alike`` standard errors of the share of all the node's children; alike ones become one
+wildcard ``{*}``. A pool that is not alike, or has too few labels itself, stays apart as ``{rare}``.
 
 Verdict. The deepest node below the root with at least ``support`` labelled urls
 decides by its smoothed purity, (bad + prior x weight) / (n + weight), the prior being its
-parent's; from ``reject_at`` on it is rejected. Every count is a grouped sum over
+parent's, at first the host's; from ``reject_at`` on it is rejected. Every count is a grouped sum over
 all urls; one host may have any share of them, as sums are combined before the
-shuffle and verdicts are joined per template, not per url.
+shuffle and verdicts are joined per template, not per url. A level of the deepest path is a round.
 """
 
 from __future__ import annotations
@@ -82,39 +83,40 @@ def _joined(parts: Column, k: Column | int) -> Column:
 
 
 def template_tree(urls: DataFrame, alike: float = 2.0, weight: float = 8.0, support: int = 5) -> DataFrame:
-    """``host, node, depth, parent, n, bad, purity`` from ``host, path, label`` (1 bad, 0 good, null unlabelled).
+    """``host, leaf, urls, template, purity`` from ``host, leaf, path, label`` (1 bad, 0 good, null unlabelled).
 
-    ``node`` is a template prefix; branches merged by similarity share the node
-    that ends with ``{*}`` and are listed with their ``branch``, the prefix they had.
+    ``template`` is the deepest merged prefix with enough labelled urls, null where none has.
     """
     bad, good = F.sum(F.when(F.col("label") == 1, 1).otherwise(0)), F.sum(F.when(F.col("label") == 0, 1).otherwise(0))
-    leaves = urls.groupBy("host", segment_kinds(F.col("path")).alias("parts")).agg(bad.alias("bad"), (bad + good).alias("n"), F.count("*").alias("urls"))
-    leaves = written(leaves, "url_leaves")
-    depth = F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("depth")
-    at = leaves.select("*", depth)
-    at = at.select("host", "depth", "bad", "n", "urls", _joined(F.col("parts"), F.col("depth")).alias("branch"), F.when(F.col("depth") > 0, _joined(F.col("parts"), F.greatest(F.col("depth") - 1, F.lit(0)))).alias("parent"))
-    nodes = at.groupBy("host", "branch", "parent", "depth").agg(*[F.sum(c).alias(c) for c in ("bad", "n", "urls")])
-    whole = nodes.groupBy("host", "parent", "depth").agg(F.sum("bad").alias("all_bad"), F.sum("n").alias("all_n"), F.count("*").alias("ways"))
+    now = urls.groupBy("host", "leaf", segment_kinds(F.col("path")).alias("parts")).agg(bad.alias("bad"), (bad + good).alias("n"), F.count("*").alias("urls"))
+    now = written(now.withColumns({"prefix": F.lit(""), "template": F.lit(None).cast("string"), "purity": F.lit(None).cast("double")}), "url_leaves")
+    for d in range(now.agg(F.max(F.size("parts"))).first()[0] or 0):
+        level = now.withColumn("segment", F.when(F.size("parts") > d, F.get("parts", F.lit(d))))
+        merged = _merged(level.filter("segment IS NOT NULL"), alike, weight, support)
+        told = level.join(merged, ["host", "prefix", "segment"], "left")
+        enough = F.coalesce(F.col("node_n") >= support, F.lit(False))
+        kept = {"prefix": F.coalesce("node", "prefix"), "template": F.when(enough, F.col("node")).otherwise(F.col("template")), "purity": F.when(enough, F.col("node_purity")).otherwise(F.col("purity"))}
+        now = written(told.select("host", "leaf", "parts", "bad", "n", "urls", *[c.alias(k) for k, c in kept.items()]), "url_leaves")
+    return now.select("host", "leaf", "urls", "template", "purity")
+
+
+def _merged(level: DataFrame, alike: float, weight: float, support: int) -> DataFrame:
+    """``host, prefix, segment, node, node_n, node_purity``: the node that each branch of a level belongs to."""
+    branches = level.groupBy("host", "prefix", "segment").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    thin = F.col("n") < support
+    sums = {"all_bad": F.col("bad"), "all_n": F.col("n"), "ways": F.lit(1), "pool_bad": F.when(thin, F.col("bad")), "pool_n": F.when(thin, F.col("n")), "pool_ways": F.when(thin, 1)}
+    whole = branches.groupBy("host", "prefix").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in sums.items()])
+    own = branches.join(whole, ["host", "prefix"])
     prior = (F.col("all_bad") + 0.5) / (F.col("all_n") + 1)
-    nodes = meet_on(nodes, whole)
-    share = (F.col("bad") + prior * weight) / (F.col("n") + weight)
-    error = F.sqrt(prior * (1 - prior) / (F.col("n") + 1))
-    merged = (F.col("depth") > 0) & (F.col("ways") > 1) & (F.col("n") >= support) & (F.abs(share - prior) <= alike * error)
-    wild = F.concat(F.regexp_replace("parent", "/$", ""), F.lit("/{*}"))
-    nodes = nodes.select("host", "branch", "parent", "depth", "bad", "n", "urls", prior.alias("prior"), F.when(merged, wild).otherwise(F.col("branch")).alias("node"))
-    sums = nodes.groupBy("host", "parent", "depth", "node").agg(F.sum("bad").alias("node_bad"), F.sum("n").alias("node_n"))
-    return meet_on(nodes, sums, "node").withColumn("purity", (F.col("node_bad") + F.col("prior") * weight) / (F.col("node_n") + weight))
-
-
-def meet_on(nodes: DataFrame, sums: DataFrame, *more: str) -> DataFrame:
-    """Nodes with the sums of the group they are in; a root's parent is null."""
-    keys = ["host", "parent", "depth", *more]
-    named = sums.select(*[F.col(k).alias(f"of_{k}") for k in keys], *[c for c in sums.columns if c not in keys])
-    same = [nodes[k].eqNullSafe(named[f"of_{k}"]) for k in keys]
-    condition = same[0]
-    for s in same[1:]:
-        condition &= s
-    return nodes.join(named, condition).drop(*[f"of_{k}" for k in keys])
+    pooled = thin & (F.col("pool_ways") > 1)
+    n, bad = F.when(pooled, F.col("pool_n")).otherwise(F.col("n")), F.when(pooled, F.col("pool_bad")).otherwise(F.col("bad"))
+    share, error = (bad + prior * weight) / (n + weight), F.sqrt(prior * (1 - prior) / (n + 1))
+    same = (F.col("ways") > 1) & (n >= support) & (F.abs(share - prior) <= alike * error)
+    name = F.when(same, "{*}").when(pooled, "{rare}").otherwise(F.col("segment"))
+    own = own.select("host", "prefix", "segment", "bad", "n", prior.alias("prior"), F.concat("prefix", F.lit("/"), name).alias("node"))
+    nodes = own.groupBy("host", "prefix", "node").agg(F.sum("n").alias("node_n"), F.sum("bad").alias("node_bad"))
+    purity = (F.col("node_bad") + F.col("prior") * weight) / (F.col("node_n") + weight)
+    return own.join(nodes, ["host", "prefix", "node"]).select("host", "prefix", "segment", "node", "node_n", purity.alias("node_purity"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...], labels: DataFrame | None = None, alike: float = 2.0, weight: float = 8.0, support: int = 5, reject_at: float = 0.5) -> DataFrame:
@@ -140,15 +142,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], labels: DataFrame | None =
         rows = rows.join(told, "page_id", "left")
     rows = written(rows.withColumn("leaf", _joined(segment_kinds(F.col("path")), F.size(segment_kinds(F.col("path"))))), "urls")
 
-    tree = written(template_tree(rows, alike, weight, support), "url_tree")
-    leaves = rows.groupBy("host", "leaf").agg(F.count("*").alias("urls"))
-    parts = F.split(F.substring("leaf", 2, 1 << 30), "/", -1)
-    chain = leaves.select("host", "leaf", "urls", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: _joined(parts, k))).alias("branch")).distinct()
-    deciding = tree.filter((F.col("node_n") >= support) & (F.col("depth") > 0)).select("host", "branch", "depth", "node", "purity")
-    found = chain.join(deciding, ["host", "branch"], "left")
-    deepest = F.max_by(F.struct("node", "purity"), F.col("depth")).alias("d")
-    decided = found.groupBy("host", "leaf").agg(deepest, F.max("urls").alias("urls"))
-    decided = decided.select(F.struct("host", "leaf").alias("of"), "urls", F.col("d.node").alias("template"), F.col("d.purity").alias("purity"))
+    tree = template_tree(rows, alike, weight, support)
+    decided = tree.select(F.struct("host", "leaf").alias("of"), "urls", "template", "purity")
     out = meet(rows.withColumn("of", F.struct("host", "leaf")), decided, "of", "urls")
     rejected = F.coalesce(F.col("purity") >= reject_at, F.lit(False))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(rejected, "block").otherwise("allow")).alias("verdict"), "template", "purity")

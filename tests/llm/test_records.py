@@ -148,5 +148,16 @@ def test_url_templates_are_rejected_by_purity(spark):
     assert out[105].template == "/spam/{number}.html"
 
 
+def test_url_templates_pool_variable_words(spark):
+    """Each user has one label or none; the page's kind decides for all of them."""
+    users = ["user" + chr(97 + i // 6) + chr(97 + i % 6) for i in range(36)]
+    rows = [(10 * i + k, f"http://host.org/{u}/{kind}") for i, u in enumerate(users) for k, kind in enumerate(("casino", "profile"))]
+    labels = [(10 * i + i % 2, 1 - i % 2) for i in range(30)]
+    out = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), (), spark.createDataFrame(labels, "page_id long, label int")).collect()}
+    assert {out[10 * i].verdict for i in range(36)} == {"block"}
+    assert {out[10 * i + 1].verdict for i in range(36)} == {"allow"}
+    assert out[350].template == "/{*}/casino"
+
+
 def test_urls_of_an_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), urls.RULES).collect() == []
