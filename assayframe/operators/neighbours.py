@@ -58,21 +58,23 @@ def _cell(n_words: int):
     return run
 
 
-def nearest(fingerprints: DataFrame, n_bits: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(fingerprints: DataFrame, n_bits: int, block_rows: int = BLOCK_ROWS, queries: DataFrame | None = None) -> DataFrame:
     """``id, outcome, neighbour_id, neighbour_outcome, similarity, concordant`` for ``id, outcome, bits`` (on-bit positions).
 
     Ids are unique texts. Of equally near rows the least id is the neighbour. Two
     rows without any bit are NaN alike, and NaN counts as nearest. A single row has no neighbour.
+    ``queries`` are the rows to find neighbours for where that isn't all of them.
     """
     own = fingerprints.select(F.col("id").cast("string").alias("id"), "outcome", "bits")
+    asked = own if queries is None else queries.select(F.col("id").cast("string").alias("id"), "outcome", "bits")
     n = own.count()
     blocks = max(1, math.ceil(n / block_rows), min(8, n // LEAST_BLOCK))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = lambda side, here, there: own.select("*", F.lit(side).alias("side"), block.alias(here), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(there))
-    cells = dealt(0, "i", "j").unionByName(dealt(1, "j", "i")).groupBy("i", "j").applyInPandas(_cell(math.ceil(n_bits / 64)), BEST)
+    dealt = lambda rows, side, here, there: rows.select("*", F.lit(side).alias("side"), block.alias(here), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(there))
+    cells = dealt(asked, 0, "i", "j").unionByName(dealt(own, 1, "j", "i")).groupBy("i", "j").applyInPandas(_cell(math.ceil(n_bits / 64)), BEST)
     best = cells.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("key"), "nb_id", "nb_outcome")).alias("b"))
     similarity = F.when(F.col("b.key") == -2.0, F.lit(float("nan"))).otherwise(-F.col("b.key"))
-    out = own.select("id", "outcome").join(best, "id")
+    out = asked.select("id", "outcome").join(best, "id")
     return out.select("id", "outcome", F.col("b.nb_id").alias("neighbour_id"), F.col("b.nb_outcome").alias("neighbour_outcome"), similarity.alias("similarity"), (F.col("outcome") == F.col("b.nb_outcome")).alias("concordant"))
 
 
@@ -99,9 +101,18 @@ def approximate(fingerprints: DataFrame, n_bits: int, least_similarity: float =
     from pyspark.ml.feature import MinHashLSH
     from pyspark.ml.functions import array_to_vector
 
-    on = F.transform(F.sequence(F.lit(0), F.lit(n_bits - 1)), lambda k: F.array_contains("bits", k).cast("double"))
+    # Rows without bits are left out, but hashes may be planned before that filter, and they refuse a vector of zeros.
+    on = F.transform(F.sequence(F.lit(0), F.lit(n_bits - 1)), lambda k: (F.array_contains("bits", k) | ((k == 0) & (F.size("bits") == 0))).cast("double"))
     rows = fingerprints.filter(F.size("bits") > 0).select(F.col("id").cast("string").alias("id"), array_to_vector(on).alias("v"))
     model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=tables, seed=seed).fit(rows)
     pairs = model.approxSimilarityJoin(rows, rows, 1 - least_similarity, "distance").filter("datasetA.id <> datasetB.id")
     best = pairs.groupBy(F.col("datasetA.id").alias("id")).agg(F.min(F.struct("distance", F.col("datasetB.id").alias("nb"))).alias("b"))
     return best.select("id", F.col("b.nb").alias("neighbour_id"), (1 - F.col("b.distance")).alias("similarity"))
+
+
+def approximate_all(fingerprints: DataFrame, n_bits: int, least_similarity: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
+    """``approximate`` for every row: those that it finds no neighbour for are compared exactly with all rows."""
+    found = approximate(fingerprints, n_bits, least_similarity, tables, seed).persist()
+    rest = fingerprints.join(found.select(F.col("id").alias("found_id")), F.col("id").cast("string") == F.col("found_id"), "left_anti")
+    exact = nearest(fingerprints, n_bits, queries=rest)
+    return found.unionByName(exact.select("id", "neighbour_id", "similarity"))

@@ -343,7 +343,7 @@ def modelability_index(spark, sf_dir):
 
 @query
 def nearest_neighbours_lsh(spark, sf_dir):
-    return neighbours.approximate(_fingerprints(spark, sf_dir), EMBEDDING_BITS, least_similarity=0.5)
+    return neighbours.approximate_all(_fingerprints(spark, sf_dir), EMBEDDING_BITS, least_similarity=0.5)
 
 
 @query

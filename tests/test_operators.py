@@ -298,3 +298,15 @@ def test_streamed_ingest_is_idempotent(spark, tmp_path):
         stream = ingest.activity_stream(spark, str(tmp_path / "in"), df.schema, 1)
         ingest.stream(stream.filter("CID is not null"), "ingested_for_test", str(tmp_path / run)).awaitTermination()
     assert spark.table("ingested_for_test").count() == 4
+
+
+def test_approximate_neighbours_cover_every_row(spark):
+    rng = np.random.default_rng(2)
+    rows = [(str(i), "Active", np.flatnonzero(rng.random(64) < 0.4).tolist()) for i in range(200)] + [("none", "Active", [])]
+    df = spark.createDataFrame(rows, "id string, outcome string, bits array<int>")
+    got = {r.id: r.similarity for r in neighbours.approximate_all(df, 64).collect()}
+    best = {r.id: r.similarity for r in neighbours.nearest(df, 64).collect()}
+    assert set(got) == {r[0] for r in rows}
+    recall = np.mean([got[i] >= best[i] - 1e-9 for i in best])
+    assert recall >= 0.95
+    print("recall", recall, "found by hashes", neighbours.approximate(df, 64, 0.5).count())
