@@ -1,16 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on the same
-and toxic text. A window is one word in a fixed frame; where the toxic dictionary
-compresses it to fewer bytes by at least a calibrated threshold, the window is
-near to toxic text. A document's score grows with the number of such windows.
-
-What goes into the toxic dictionary are the words and word beginnings that set
-the toxic sample apart: chosen greedily by the evidence they add, until every
-sample document has several of them or no evidence is left. Ordinary words that
-still come near to them join the ordinary dictionary. Windows are spelt
-with three bytes a letter, so that a letter that a dictionary saves counts for
-more than the few bytes that any match costs.
+Two zstandard dictionaries are trained on a bounded sample, one on ordinary text and one on
+toxic text, which continues the ordinary one. A text is cut into windows of a few words; a
+window's distance is how many bytes fewer it takes with the toxic dictionary than with the
+ordinary one.
+
+Only labels of whole documents are known, and most of a toxic document is ordinary. So the toxic
+dictionary grows in rounds. Each trains zstandard on the toxic sample's windows that the ordinary
+dictionary explains worst and the toxic one not yet, and drops the pieces of the result that save
+ordinary windows nearly as often as toxic ones. No list of words is made: what is chosen are pieces
+of a trained dictionary, by the bytes that they save. Ordinary windows that still come near join
+the ordinary dictionary.
+
+Calibration, on documents that no dictionary has seen: how much oftener than ordinary text toxic
+text has windows of each distance is a window's evidence (a logarithm, negative for small
+distances). A document has the evidence of its best stretch of windows, less the logarithm of their
+number: a long text has more stretches to be near by chance, and a short toxic passage in a long
+text is not thinned out. Letters are widened to two bytes before compression, so that the few bytes
+that any match costs weigh less against the letters that it saves.
 
 The sample is bounded (``samples.labelled``); scoring sees every text whole.
 """
@@ -32,143 +39,180 @@ from pyspark.sql import functions as F
 from assayframe.llm.packing import slices
 from assayframe.llm.samples import held_out, labelled, without_copies
 
-PER_CLASS, MAX_BYTES = 1500, 20_000
-#: A gram must be in this share of the toxic sample at least, and be so many times as common there.
-LEAST_SHARE, LEAST_ODDS, COVER, MOST_GRAMS = 0.02, math.log(15), 6, 400
-COMMON_WORDS, NEAR_WORDS, ROUNDS, CACHED_WORDS = 150, 100, 6, 400_000
+PER_CLASS, MAX_BYTES = 2500, 20_000
+#: Words of a window, and the bytes beyond which one is cut.
+WORDS, LONGEST = 2, 64
+#: Bytes of the ordinary dictionary, of what a round trains, of a piece of it and between pieces, and the windows that each class is judged by.
+ORDINARY, TRAINED, PIECE, STEP, MOST_WINDOWS = 24_000, 20_000, 10, 2, 200_000
+#: Rounds; the share of windows left out of a round as well explained, by turns; how much oftener, per window, a piece
+#: has to save toxic windows than ordinary ones, in how many documents, and by how many bytes.
+ROUNDS, EXPLAINED, ODDS, LEAST_DOCS, LEAST_SAVED = 6, (0.6, 0.0), 8, 4, 6
+MOST_DISTANCE = 24
 
-_WORD = re.compile(r"[^\W\d_]{3,40}")
-_BEGIN = b"\x01\x02\x03\x04"
-_FRAME = bytes(range(9, 33))
-_TAIL = 2 * len(_FRAME) + 16
+_OTHER = re.compile(r"[\W_]+")
+_TAIL = bytes(range(1, 9))  # zstandard begins no match in the last eight bytes of its input
 
 
-def spelt(text: str, whole: bool = True) -> bytes:
-    """Three bytes for each letter and, if ``whole``, for the word's end.
+def plain(text: str) -> bytes:
+    return b" " + _OTHER.sub(" ", text.lower()).strip().encode() + b" "
 
-    They depend on all letters so far, so that a match between two words is a
-    beginning that they share, and not a syllable somewhere within them.
-    """
-    state, out = 0, bytearray()
-    for b in (*text.encode(), 0)[: None if whole else -1]:
-        state = (state * 0x01000193 + b + 1) * 0x9E3779B1 & 0xFFFFFFFF
-        out += ((state >> 8) & 0xFFFFFF).to_bytes(3, "little")
-    return bytes(out)
-
-
-def grams(text: str) -> set[tuple[str, bool]]:
-    """The words of a text (whole: True) and their beginnings of 3 to 8 letters."""
-    words = set(_WORD.findall(text.lower()))
-    return {(w, True) for w in words} | {(w[:k], False) for w in words for k in range(3, min(len(w), 9))}
-
-
-def telling(toxic: list[str], ordinary: list[str]) -> list[tuple[str, bool]]:
-    """The grams that set the toxic texts apart, the strongest first."""
-    own, of = Counter(), defaultdict(set)
-    for t in ordinary:
-        own.update(grams(t))
-    for i, t in enumerate(toxic):
-        for g in grams(t):
-            of[g].add(i)
-    least = max(2, LEAST_SHARE * len(toxic))
-    rare = lambda g: (len(of[g]) + 0.5) / (len(toxic) + 1) / ((own[g] + 0.5) / (len(ordinary) + 1))
-    odds = {g: math.log(rare(g)) for g in of if len(of[g]) >= least}
-    odds = {g: o for g, o in odds.items() if o >= LEAST_ODDS}
-    lacking, found = np.full(len(toxic), COVER), []
-    left = {g: np.fromiter(of[g], np.int64) for g in odds}
-    while left and len(found) < MOST_GRAMS:
-        gain = {g: odds[g] * np.minimum(lacking[docs], 1).sum() for g, docs in left.items()}
-        best = max(gain, key=lambda g: (gain[g], len(g[0]), g))
-        if gain[best] < odds[best] * least:
-            break
-        found.append(best)
-        lacking[left.pop(best)] -= 1
-        lacking = np.maximum(lacking, 0)
-        size = 1.5 * len(of[best])  # what the chosen gram explains: its continuations, or the beginnings that occur with it alone
-        left = {g: d for g, d in left.items() if not (g[0].startswith(best[0]) and not best[1] or best[0].startswith(g[0]) and len(of[g]) <= size)}
-    return found
 
+def widened(data: bytes) -> bytes:
+    """Two bytes for each, the second a function of the first."""
+    own = np.frombuffer(data, np.uint8)
+    return np.stack([own, own * np.uint8(167) + np.uint8(77)], axis=1).tobytes()
 
-@dataclass
-class Model:
-    """``ordinary`` and ``toxic`` dictionaries, bytes saved that make a window toxic, windows that make a document toxic."""
 
-    ordinary: bytes
-    toxic: bytes
-    saved: int
-    windows: int
+def cuts(data: bytes, words: int = WORDS, longest: int = LONGEST) -> list[int]:
+    """Where windows begin and end: at every so many spaces, and within what would be longer than ``longest``."""
+    at = np.r_[np.flatnonzero(np.frombuffer(data, np.uint8) == 32)[:-1:words], len(data) - 1]
+    pieces = np.maximum((np.diff(at) + longest - 1) // longest, 1)
+    start = np.repeat(at[:-1], pieces)
+    return np.r_[start + longest * (np.arange(len(start)) - np.repeat(np.cumsum(pieces) - pieces, pieces)), at[-1]].tolist()
 
-    def score(self, hits: int) -> float:
-        return 1 / (1 + math.exp(-2.0 * (hits - self.windows + 0.5)))
 
+def windows(data: bytes) -> list[bytes]:
+    at = cuts(data)
+    return [data[a : b + 1] for a, b in zip(at[:-1], at[1:], strict=True)]
 
-class Distance(dict):
-    """For a word: bytes that the toxic dictionary saves; remembered while there is room."""
 
-    def __init__(self, model: Model):
-        params = zstandard.ZstdCompressionParameters(window_log=16, hash_log=14, chain_log=14, search_log=8, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
-        raw = lambda d: zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.pair = [zstandard.ZstdCompressor(dict_data=raw(d), compression_params=params).compress for d in (model.ordinary, model.toxic)]
-        self.saved = model.saved
+def trained(size: int, texts: list[bytes], segment: int) -> bytes:
+    """The content of a dictionary that zstandard trains on texts; of too little text, the text itself."""
+    try:
+        whole = zstandard.train_dictionary(size, texts, k=segment, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(texts)[-size:]
+    return whole[160:] if len(whole) > 1000 else whole  # without the header
+
+
+class Lengths:
+    """Compressed lengths of widened windows with one dictionary."""
+
+    def __init__(self, content: bytes):
+        params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=4, min_match=7, strategy=zstandard.STRATEGY_DFAST, write_content_size=0, write_checksum=0, write_dict_id=0)
+        self._compress = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(widened(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress
+
+    def of(self, wide: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(len, map(self._compress, wide)), np.int64, len(wide))
 
-    def bytes_saved(self, word: str) -> int:
-        window = _FRAME + _BEGIN + spelt(word) + _FRAME[::-1]
-        ordinary, toxic = self.pair
-        return len(ordinary(window)) - len(toxic(window))
 
-    def __missing__(self, word: str) -> int:
-        near = int(self.bytes_saved(word) >= self.saved)
-        if len(self) < CACHED_WORDS:
-            self[word] = near
-        return near
+def _wide(some: list[bytes]) -> list[bytes]:
+    return [widened(w) + _TAIL for w in some]
 
-    def hits(self, text: str) -> int:
-        return sum(map(self.__getitem__, _WORD.findall(text.lower())))
 
+@dataclass
+class Model:
+    """The two dictionaries' contents, the evidence of each distance from 0 to MOST_DISTANCE, and the document's threshold."""
+
+    ordinary: bytes
+    toxic: bytes
+    evidence: np.ndarray
+    threshold: float = 0.0
 
-def _any_gram(word: str, found: list[tuple[str, bool]]) -> bool:
-    return any(word == g if whole else word.startswith(g) for g, whole in found)
+    def score(self, evidence: float) -> float:
+        return 1 / (1 + math.exp(-max(min(evidence - self.threshold, 30.0), -30.0)))
+
+
+class Distance:
+    def __init__(self, model: Model):
+        self.ordinary, self.toxic, self.evidence = Lengths(model.ordinary), Lengths(model.toxic), model.evidence
+
+    def distances(self, text: str) -> np.ndarray:
+        """Bytes that the toxic dictionary saves in each window."""
+        data = plain(text)
+        wide, at = widened(data), [2 * x for x in cuts(data)]
+        own = [wide[a : b + 2] + _TAIL for a, b in zip(at[:-1], at[1:], strict=True)]
+        return self.ordinary.of(own) - self.toxic.of(own)
+
+    def of(self, text: str) -> tuple[float, int]:
+        """A document's evidence, and the windows that have more than none."""
+        each = self.evidence[np.clip(self.distances(text), 0, MOST_DISTANCE)]
+        sums = np.r_[0.0, np.cumsum(each)]
+        best = float((sums - np.minimum.accumulate(sums)).max())
+        return best - math.log(len(each) + 1), int((each > 0).sum())
+
+
+def _grams(data: bytes) -> set[bytes]:
+    return {data[i : i + 6] for i in range(len(data) - 5)}
+
+
+def _users(pieces: list[bytes], some: list[bytes]) -> list[int]:
+    """For each window the piece that shares most of its six-byte strings, the first of equals; -1 for none."""
+    index = defaultdict(list)
+    for j, p in enumerate(pieces):
+        for g in _grams(p):
+            index[g].append(j)
+    shared = [Counter(j for g in _grams(w) for j in index.get(g, ())) for w in some]
+    return [max(c.items(), key=lambda x: (x[1], -x[0]))[0] if c else -1 for c in shared]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes] | None:
+    """The contents of the ordinary and the toxic dictionary; None if no toxic text sets itself apart."""
+    rng = np.random.default_rng(7)
+    own = [(i, w) for i, t in enumerate(toxic) for w in windows(plain(t))]
+    of, some = np.array([i for i, _ in own]), [w for _, w in own]
+    if len(some) > MOST_WINDOWS:
+        kept = np.sort(rng.permutation(len(some))[:MOST_WINDOWS])
+        of, some = of[kept], [some[i] for i in kept]
+    rest = [w for t in ordinary for w in windows(plain(t))]
+    rest = [rest[i] for i in rng.permutation(len(rest))]
+    half = max(1, min(len(rest) // 3, MOST_WINDOWS // 2))
+    learnt, seen = rest[:half], rest[half : 3 * half] or rest
+    base = trained(ORDINARY, learnt, 24)
+    wide, wide_seen = _wide(some), _wide(seen)
+    before, before_seen = Lengths(base).of(wide), Lengths(base).of(wide_seen)
+    ratio, open_, kept = before / np.array([len(w) for w in wide]), np.ones(len(some), bool), []
+    for k in range(ROUNDS):
+        if not open_.any():
+            break
+        hard = np.flatnonzero(open_ & (ratio >= np.quantile(ratio[open_], EXPLAINED[k % len(EXPLAINED)])))
+        fresh = trained(TRAINED, [some[i] for i in rng.permutation(hard)], 12)
+        pieces = [fresh[i : i + PIECE] for i in range(0, max(len(fresh) - PIECE, 0) + 1, STEP)] + kept
+        both = Lengths(base + b"".join(kept) + fresh)
+        near = np.flatnonzero(before - both.of(wide) >= LEAST_SAVED)
+        near_seen = np.flatnonzero(before_seen - both.of(wide_seen) >= LEAST_SAVED)
+        docs, uses = defaultdict(set), Counter(_users(pieces, [seen[i] for i in near_seen]))
+        for j, i in zip(_users(pieces, [some[i] for i in near]), near, strict=True):
+            docs[j].add(of[i])
+        odds = lambda j: len(docs[j]) / len(some) / ((uses[j] + 0.5) / len(seen))
+        kept = [pieces[j] for j in sorted(docs) if j >= 0 and len(docs[j]) >= min(LEAST_DOCS, len(toxic)) and odds(j) >= ODDS]
+        if not kept:
+            return None
+        open_ = before - Lengths(base + b"".join(kept)).of(wide) < LEAST_SAVED
+    return base, base + b"".join(kept)
+
+
+def calibrated(model: Model, texts: list[tuple[str, int]]) -> Model:
+    """The model with the evidence of distances and the threshold that tell these texts apart best."""
+    distance, label = Distance(model), np.array([y for _, y in texts])
+    each = [np.clip(distance.distances(t), 0, MOST_DISTANCE) for t, _ in texts]
+    counts = [np.bincount(np.concatenate([e for e, y in zip(each, label, strict=True) if y == c]), minlength=MOST_DISTANCE + 1) for c in (1, 0)]
+    tail = [np.cumsum(c[::-1])[::-1] + 0.0 for c in counts]
+    share = [(c + 2.0 * (t + 1) / (t[0] + 1)) / (c.sum() + 2.0) for c, t in zip(counts, tail, strict=True)]
+    model.evidence = np.maximum.accumulate(np.clip(np.log(share[0] / share[1]), -2, 4))
+    distance.evidence = model.evidence
+    told = np.array([distance.of(t)[0] for t, _ in texts])
+    best = (-1.0, 0.0)
+    order = np.unique(told)
+    for low, high in zip(np.r_[order[0] - 2, order], np.r_[order, order[-1] + 2], strict=True):
+        said = told >= (low + high) / 2
+        best = max(best, (round((said[label == 1].mean() + (~said)[label == 0].mean()) / 2, 4), float((low + high) / 2)))
+    model.threshold = best[1]
+    return model
 
 
 def train(texts: list[tuple[str, int]]) -> Model | None:
     """From (text, label) pairs; None where a label is missing or nothing sets it apart.
 
-    The dictionaries come from three texts of four, the thresholds from the rest, if both labels occur there.
+    The dictionaries come from three texts of four, the calibration from the rest, if both labels occur there.
     """
     texts = [texts[i] for i in without_copies([t for t, _ in texts])]
-    rest = texts[::4]
-    learnt = [x for i, x in enumerate(texts) if i % 4]
+    rest, learnt = texts[::4], [x for i, x in enumerate(texts) if i % 4]
     if {y for _, y in rest} != {0, 1} or len(rest) < 20:
         learnt = rest = texts
     toxic, ordinary = [t for t, y in learnt if y == 1], [t for t, y in learnt if y == 0]
-    found = telling(toxic, ordinary) if toxic and ordinary else []
-    if not found:
-        return None
-    common = [w for w, _ in Counter(w for t in ordinary for w in set(_WORD.findall(t.lower()))).most_common(COMMON_WORDS)]
-    special = b"".join(_BEGIN + spelt(w, whole) for w, whole in found[::-1])
-    plain = {w for t in ordinary for w in _WORD.findall(t.lower())}
-    chosen = list(common)
-    for _ in range(ROUNDS):  # ordinary words that resemble toxic ones join the ordinary dictionary
-        shared = b"".join(_BEGIN + spelt(w) for w in chosen) + _FRAME + _FRAME[::-1] + bytes(16)
-        model = Model(shared, shared[: -_TAIL] + special + shared[-_TAIL:], 1, 1)
-        distance = Distance(model)
-        near = sorted(((s, w) for w in plain if (s := distance.bytes_saved(w)) >= 3), reverse=True)
-        plain = {w for _, w in near}
-        chosen = [w for _, w in near[:NEAR_WORDS] if not _any_gram(w, found)] + chosen
-
-    words = {w for t, _ in rest for w in set(_WORD.findall(t.lower()))}
-    saved = {w: distance.bytes_saved(w) for w in words}
-    each = [np.array([saved[w] for w in _WORD.findall(t.lower())] or [0]) for t, _ in rest]
-    label = np.array([y for _, y in rest])
-    best = (-1.0, 0, 0)
-    for least in range(3, 40):
-        hits = np.array([int((e >= least).sum()) for e in each])
-        for windows in (1, 2, 3):
-            said = hits >= windows
-            fit = (said[label == 1].mean() + (~said)[label == 0].mean()) / 2
-            best = max(best, (round(fit, 4), windows, least))
-    model.windows, model.saved = best[1], best[2]
-    return model
+    made = dictionaries(toxic, ordinary) if toxic and ordinary else None
+    return calibrated(Model(*made, np.zeros(MOST_DISTANCE + 1)), rest) if made else None
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int = 5, fold: int = 0, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model | None:
@@ -179,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int =
 def score(docs: DataFrame, model: Model | None, folds: int = 5, fold: int = 0, threshold: float = 0.5) -> DataFrame:
     """``doc_id, held_out, score, predicted, windows`` for every row.
 
-    ``windows`` counts the windows near to toxic text. A null or empty text has none. Without a model
+    ``windows`` counts the windows nearer to toxic text. A null or empty text has none. Without a model
     (no labelled rows of one kind) every score is 0. Other columns are not read.
     """
 
@@ -188,9 +232,9 @@ def score(docs: DataFrame, model: Model | None, folds: int = 5, fold: int = 0, t
         for batch in batches:
             texts = batch.column(1)
             for a, b in slices(texts):
-                hits = [distance.hits(t) if distance is not None else 0 for t in texts.slice(a, b - a).to_pylist()]
-                scores = [model.score(h) if model else 0.0 for h in hits]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores, pa.float64()), pa.array(hits, pa.int64())], names=["doc_id", "score", "windows"])
+                told = [distance.of(t) if distance else (0.0, 0) for t in texts.slice(a, b - a).to_pylist()]
+                scores = [model.score(e) if model else 0.0 for e, _ in told]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores, pa.float64()), pa.array([n for _, n in told], pa.int64())], names=["doc_id", "score", "windows"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scored = own.mapInArrow(run, "doc_id long, score double, windows long")
