@@ -14,9 +14,13 @@ wildcard ``{*}``. A pool that is not alike, or has too few labels itself, stays
 
 Verdict. The deepest node below the root with at least ``support`` labelled urls
 decides by its smoothed purity, (bad + prior x weight) / (n + weight), the prior being its
-parent's, at first the host's; from ``reject_at`` on it is rejected. Every count is a grouped sum over
-all urls; one host may have any share of them, as sums are combined before the
-shuffle and verdicts are joined per template, not per url. A level of the deepest path is a round.
+parent's, at first the host's; from ``reject_at`` on it is rejected. Where a host has no such node, the
+same tree over the paths of all hosts decides, with the url's own host as the prior; its templates begin
+with ``*``. Only urls without a node there either have no template, and are allowed.
+
+Every count is a grouped sum over all urls; one host may have any share of them, as sums are combined before the
+shuffle and verdicts are joined per template, not per url. A level is a round, and rounds end where no
+node has enough labelled urls any more: deeper ones have no more than those above.
 """
 
 from __future__ import annotations
@@ -83,21 +87,39 @@ def _joined(parts: Column, k: Column | int) -> Column:
 
 
 def template_tree(urls: DataFrame, alike: float = 2.0, weight: float = 8.0, support: int = 5) -> DataFrame:
-    """``host, leaf, urls, template, purity`` from ``host, leaf, path, label`` (1 bad, 0 good, null unlabelled).
+    """``host, leaf, urls, bad, n, template, purity, labelled`` from ``host, leaf, path, label`` (1 bad, 0 good, null unlabelled).
 
-    ``template`` is the deepest merged prefix with enough labelled urls, null where none has.
+    ``template`` is the deepest merged prefix with enough labelled urls, null where none has, and ``labelled`` their number;
+    bad and n count the leaf's own labels.
     """
     bad, good = F.sum(F.when(F.col("label") == 1, 1).otherwise(0)), F.sum(F.when(F.col("label") == 0, 1).otherwise(0))
     now = urls.groupBy("host", "leaf", segment_kinds(F.col("path")).alias("parts")).agg(bad.alias("bad"), (bad + good).alias("n"), F.count("*").alias("urls"))
-    now = written(now.withColumns({"prefix": F.lit(""), "template": F.lit(None).cast("string"), "purity": F.lit(None).cast("double")}), "url_leaves")
+    start = {"prefix": F.lit(""), "template": F.lit(None).cast("string"), "purity": F.lit(None).cast("double"), "labelled": F.lit(None).cast("long")}
+    now = written(now.withColumns(start), "url_leaves")
     for d in range(now.agg(F.max(F.size("parts"))).first()[0] or 0):
         level = now.withColumn("segment", F.when(F.size("parts") > d, F.get("parts", F.lit(d))))
-        merged = _merged(level.filter("segment IS NOT NULL"), alike, weight, support)
+        merged = written(_merged(level.filter("segment IS NOT NULL"), alike, weight, support), "url_nodes")
+        if merged.filter(F.col("node_n") >= support).isEmpty():
+            break
         told = level.join(merged, ["host", "prefix", "segment"], "left")
         enough = F.coalesce(F.col("node_n") >= support, F.lit(False))
-        kept = {"prefix": F.coalesce("node", "prefix"), "template": F.when(enough, F.col("node")).otherwise(F.col("template")), "purity": F.when(enough, F.col("node_purity")).otherwise(F.col("purity"))}
+        better = {"template": "node", "purity": "node_purity", "labelled": "node_n"}
+        kept = {"prefix": F.coalesce("node", "prefix")} | {k: F.when(enough, F.col(c)).otherwise(F.col(k)) for k, c in better.items()}
         now = written(told.select("host", "leaf", "parts", "bad", "n", "urls", *[c.alias(k) for k, c in kept.items()]), "url_leaves")
-    return now.select("host", "leaf", "urls", "template", "purity")
+    return now.select("host", "leaf", "urls", "bad", "n", "template", "purity", "labelled")
+
+
+def decide(urls: DataFrame, alike: float = 2.0, weight: float = 8.0, support: int = 5) -> DataFrame:
+    """``host, leaf, urls, template, purity``: each host's own tree, and the tree of all hosts where that has no node."""
+    own = template_tree(urls, alike, weight, support)
+    hosts = own.groupBy("host").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("prior"), F.count("*").alias("leaves"))
+    own = written(meet(own, written(hosts, "url_hosts"), "host", "leaves"), "url_trees")
+    shared = template_tree(urls.withColumn("host", F.lit("*")), alike, weight, support)
+    among = own.groupBy("leaf").agg(F.count("*").alias("among"))
+    shared = shared.join(among, "leaf").select("leaf", "among", F.concat("host", "template").alias("shared"), F.col("purity").alias("shared_purity"), F.col("labelled").alias("shared_n"))
+    both = meet(own.drop("labelled", "bad", "n"), written(shared, "url_shared"), "leaf", "among")
+    backed = (F.col("shared_purity") * F.col("shared_n") + F.col("prior") * weight) / (F.col("shared_n") + weight)
+    return both.select("host", "leaf", "urls", F.coalesce("template", "shared").alias("template"), F.when(F.col("template").isNotNull(), F.col("purity")).otherwise(backed).alias("purity"))
 
 
 def _merged(level: DataFrame, alike: float, weight: float, support: int) -> DataFrame:
@@ -123,7 +145,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], labels: DataFrame | None =
     """``page_id, host, path, rule, verdict, template, purity`` for every url.
 
     Labelled urls come from ``labels (page_id, label)``; where it is None the rules'
-    own verdicts label the urls that they fit. Null urls and urls without ``://``
+    own verdicts label the urls that they fit, and reach other hosts by templates that these share. Null urls and urls without ``://``
     have an empty host and path, a template of their own, and are allowed unless
     their template is rejected. Repeated rows give repeated rows.
     """
@@ -142,7 +164,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], labels: DataFrame | None =
         rows = rows.join(told, "page_id", "left")
     rows = written(rows.withColumn("leaf", _joined(segment_kinds(F.col("path")), F.size(segment_kinds(F.col("path"))))), "urls")
 
-    tree = template_tree(rows, alike, weight, support)
+    tree = written(decide(rows, alike, weight, support), "url_verdicts")
     decided = tree.select(F.struct("host", "leaf").alias("of"), "urls", "template", "purity")
     out = meet(rows.withColumn("of", F.struct("host", "leaf")), decided, "of", "urls")
     rejected = F.coalesce(F.col("purity") >= reject_at, F.lit(False))
