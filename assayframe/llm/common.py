@@ -12,9 +12,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set."""
+    """The folder that all executors share; one of our own only where none is set and all run on this machine."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         known = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -46,9 +48,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def one_of_each(df: DataFrame, *keys: str) -> DataFrame:
     """One row for each value of the keys (null is a value), with its columns as they are."""
-    order = "__one_of_each"
+    order = fresh(df, "one_of_each")
     w = Window.partitionBy(*keys).orderBy(F.lit(1))
     return df.withColumn(order, F.row_number().over(w)).filter(F.col(order) == 1).drop(order)
 
