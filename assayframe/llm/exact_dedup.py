@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import ascii_lower, meet, one_of_each, written
+from assayframe.llm.common import ascii_lower, fresh, meet, one_of_each, written
 
 INDEX_SCHEMA = "digest string, keep_id long, batch long"
 
@@ -66,11 +66,11 @@ class DigestIndex:
         rows = written(own.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("copies")), "digests")
         groups = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("new_id"), F.sum("copies").alias("group_size"))
         groups = written(groups, "digest_groups")
-        fresh = groups.select(F.col("text_sha256").alias("digest"), F.col("new_id").alias("keep_id"), F.lit(batch).cast("long").alias("batch"))
-        self._append(fresh.join(self.table().hint("merge"), "digest", "left_anti"))
+        new = groups.select(F.col("text_sha256").alias("digest"), F.col("new_id").alias("keep_id"), F.lit(batch).cast("long").alias("batch"))
+        self._append(new.join(self.table().hint("merge"), "digest", "left_anti"))
 
         known = self.table().withColumnRenamed("digest", "text_sha256").hint("merge")
-        decided = groups.drop("new_id").join(known, "text_sha256")
+        decided = written(groups.drop("new_id").join(known, "text_sha256"), "decided")
         out = meet(rows, decided, "text_sha256", "group_size")
         mine = (F.col("batch") == batch) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
         return out.select(
@@ -86,7 +86,8 @@ class DigestIndex:
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batch: int = 0) -> DataFrame:
     """``docs`` without the rows that repeat a text; all columns stay as they are."""
     index = index or DigestIndex(docs.sparkSession)
-    kept = index.add(docs, batch).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__digest": F.sha2(normalised(F.col("text")), 256)})
-    same = own["__digest"].eqNullSafe(kept["__digest"]) & own["__id"].eqNullSafe(kept["__id"])
-    return one_of_each(own.join(kept, same, "left_semi"), "__digest", "__id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = index.add(docs, batch).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
+    own_id, own_digest = fresh(docs, "own_id"), fresh(docs, "own_digest")
+    own = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_digest: F.sha2(normalised(F.col("text")), 256)})
+    same = own[own_digest].eqNullSafe(kept["kept_digest"]) & own[own_id].eqNullSafe(kept["kept_id"])
+    return one_of_each(own.join(kept, same, "left_semi"), own_digest, own_id).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from assayframe.llm.common import fresh
 from assayframe.llm.packing import slices
 from assayframe.llm.samples import held_out, labelled
 
@@ -213,7 +214,7 @@ def score(docs: DataFrame, field: Field | None, folds: int = 4, fold: int = 2, t
 
 def keep_good(docs: DataFrame, field: Field | None, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` at least (all, without a field); all columns stay as they are."""
-    column = "__quality"
     if field is None:
         return docs
+    column = fresh(docs, "quality")
     return with_score(docs, field, column).filter(F.col(column) >= threshold).drop(column)

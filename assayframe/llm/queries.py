@@ -44,12 +44,12 @@ def op6_simhash(spark, sf_dir):
 
 
 def op7_chat(spark, sf_dir):
-    from assayframe.llm.chat import read_back, segments
+    from assayframe.llm.chat import formatted, read_back
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
-    return read_back(segments(turns.unionByName(own)))
+    return read_back(formatted(turns.unionByName(own)))
 
 
 def op5_decontamination(spark, sf_dir):
@@ -120,7 +120,7 @@ ORACLE_SQL = {
     "op7_chat": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-        m AS (SELECT *, length(regexp_replace(text, '[\\[\]<>]', '--', 'g')) + CASE role WHEN 'assistant' THEN 10 ELSE 15 END AS chars FROM t)
+        m AS (SELECT *, length(regexp_replace(text, '[\\[\]<>]', '--', 'g')) + CASE WHEN role = 'assistant' THEN 10 WHEN role IN ('user', 'system') THEN 15 ELSE 16 + length(regexp_replace(role, '[\\[\]<>]', '--', 'g')) END AS chars FROM t)
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars

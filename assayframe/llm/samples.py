@@ -24,7 +24,7 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold:
     Those with the least hash of their id are taken, whole, of the texts of at
     most ``max_bytes`` bytes; so what a driver gathers from the sample is bounded
     by 2 x per_class x max_bytes. A document with both labels counts as 1, one whose id
-    repeats is taken once.
+    repeats is taken once, with the least of its texts.
     """
     known = labels.filter(F.col(target).isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(target).alias("label")).filter("doc_id is not null")
@@ -33,7 +33,7 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold:
         some = known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.filter(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return own.filter(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def without_copies(texts: list[str], bits: int = 14) -> list[int]:

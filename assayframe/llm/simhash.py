@@ -13,14 +13,17 @@ halves of the other segment, in which linked fingerprints share a point too.
 
 Four bits of 64 are far fewer than texts of a similarity of 0.8 differ in:
 those differ in 15 % of a fingerprint's bits. For such a similarity there are wide
-fingerprints of 256 bits over the distinct shingles, listed under 200 permuted tables: the key of a table is
-18 bits of a fixed random choice. Lists are first sifted by the first word
+fingerprints of 256 bits over the distinct shingles. Their segments are fixed random choices of bits, each listed under
+its ball of radius 1, so that two meet where a segment differs in at most 2 bits. A segment has as many bits as
+keep lists short for so many fingerprints, and there are as many segments as let all but ``LOST`` of the
+pairs at 0.8 meet. Lists are first sifted by the first word
 alone, then by complete distances, with a limit so loose that few pairs at 0.8 exceed it. The distance only
 nominates: within the components of nominated pairs the exact similarity of the shingle sets decides each link.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import meet, one_of_each, written
+from assayframe.llm.common import fresh, meet, one_of_each, written
 from assayframe.llm.components import components
 from assayframe.llm.packing import slices
 
@@ -37,9 +40,12 @@ SEED = 42
 SEGMENTS, SEGMENT_BITS, HALF_BITS = 2, 32, 16
 #: Wide fingerprints: 64-bit words, bits in which nominated ones may differ (at a similarity of 0.8 the mean is 39
 #: of 256), and bits in which their first words may.
-WIDE_WORDS, WIDE_MOST, FIRST_MOST = 4, 64, 22
-#: Permuted tables and the bits of their keys; fingerprints listed at once.
-TABLES, TABLE_BITS, LIST_ROWS = 200, 18, 2_000
+WIDE_WORDS, WIDE_MOST, FIRST_MOST = 4, 64, 20
+#: Share of a wide fingerprint's bits that differ at a similarity of 0.8, pairs there that may meet in no segment,
+#: least bits of a segment, and fingerprints listed at once.
+DIFFERS, LOST, LEAST_BITS, LIST_ROWS = 0.15, 0.0025, 20, 2_000
+#: Longest lists that are compared by shifts, and as one matrix.
+SHIFTED, MATRIX = 16, 512
 #: A block of a component: its shingles, with so many added for each text.
 BLOCK_WEIGHT, TEXT_WEIGHT = 1_000_000, 250
 
@@ -252,14 +258,18 @@ def _sift(arrays: list[np.ndarray]) -> pa.RecordBatch:
     """The members of each list whose first word is near to another member's."""
     key, word = arrays
     near = np.zeros(len(key), bool)
-    for d in range(1, min(8, len(key))):
+    start, size = _lists(key)
+    for d in range(1, min(SHIFTED, int(size.max(initial=0)))):
         same = (key[d:] == key[:-d]) & (differing(word[d:], word[:-d]) <= FIRST_MOST)
         near[d:] |= same
         near[:-d] |= same
-    start, size = _lists(key)
-    for s, n in zip(start[size > 8].tolist(), size[size > 8].tolist(), strict=True):
-        found = {w for pair in _forest(word[s : s + n], FIRST_MOST) for w in pair}
-        near[s : s + n] = np.isin(word[s : s + n], list(found)) if found else False
+    for s, n in zip(start[size > SHIFTED].tolist(), size[size > SHIFTED].tolist(), strict=True):
+        some = word[s : s + n]
+        if n <= MATRIX:
+            near[s : s + n] = (differing(some[:, None], some[None, :]) <= FIRST_MOST).sum(1) > 1
+        else:
+            found = {w for pair in _forest(some, FIRST_MOST) for w in pair}
+            near[s : s + n] = np.isin(some, list(found)) if found else False
     return pa.RecordBatch.from_arrays([pa.array(key[near]), pa.array(word[near])], names=["key", "w0"])
 
 
@@ -285,22 +295,35 @@ def _verify_wide(most: int):
     return each
 
 
-def table_keys(fps: np.ndarray) -> np.ndarray:
-    """The keys of fingerprints (rows of four words) in all tables, a row each."""
+def segments_for(rows: int) -> tuple[int, int]:
+    """Bits of a segment and number of segments for so many fingerprints."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(rows, 2))) - 1)
+    meet = sum(math.comb(bits, k) * DIFFERS**k * (1 - DIFFERS) ** (bits - k) for k in range(3))
+    return bits, math.ceil(math.log(LOST) / math.log(1 - meet))
+
+
+def segment_keys(fps: np.ndarray, bits: int, segments: int) -> np.ndarray:
+    """The points of all segments' balls of radius 1 for fingerprints (rows of four words), a row each."""
     rng = np.random.default_rng(SEED)
-    place = np.zeros((64 * WIDE_WORDS, TABLES), np.float32)
-    for k in range(TABLES):
-        place[rng.choice(64 * WIDE_WORDS, TABLE_BITS, replace=False), k] = 2.0 ** np.arange(TABLE_BITS)
-    bits = np.unpackbits(fps.astype(">i8").view(np.uint8), axis=1).astype(np.float32)
-    return (bits @ place).astype(np.int64) | np.arange(TABLES, dtype=np.int64) << TABLE_BITS  # below 2^24 floats are exact
+    place = np.zeros((64 * WIDE_WORDS, segments))
+    for k in range(segments):
+        place[rng.choice(64 * WIDE_WORDS, bits, replace=False), k] = 2.0 ** np.arange(bits)
+    each = np.unpackbits(fps.astype(">i8").view(np.uint8), axis=1).astype(np.float64)
+    value = (each @ place).astype(np.int64) | np.arange(segments, dtype=np.int64) << bits
+    flips = np.r_[0, 1 << np.arange(bits, dtype=np.int64)]
+    return (value[:, :, None] ^ flips).reshape(len(fps), -1)
 
 
-def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = np.stack([c.to_numpy() for c in batch.columns], axis=1)
-        for s in range(0, len(fps), LIST_ROWS):
-            some = fps[s : s + LIST_ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array(table_keys(some).ravel()), pa.array(np.repeat(some[:, 0], TABLES))], names=["key", "w0"])
+def _list(bits: int, segments: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            for s in range(0, len(fps), LIST_ROWS):
+                some = fps[s : s + LIST_ROWS]
+                keys = segment_keys(some, bits, segments)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(some[:, 0], keys.shape[1]))], names=["key", "w0"])
+
+    return run
 
 
 def _shingle_sets(words: int):
@@ -396,7 +419,7 @@ def similar(docs: DataFrame, words: int = 5, most: int = WIDE_MOST, similarity:
     rows = written(wide_fingerprints(docs, words), "wide_fingerprints")
     fps = rows.groupBy("fp").agg(_least(), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
     fps = written(fps, "distinct_wide")
-    lists = fps.select(*[f"fp.w{k}" for k in range(WIDE_WORDS)]).mapInArrow(_list, "key long, w0 long").repartition("key").sortWithinPartitions("key")
+    lists = fps.select(*[f"fp.w{k}" for k in range(WIDE_WORDS)]).mapInArrow(_list(*segments_for(fps.count())), "key long, w0 long").repartition("key").sortWithinPartitions("key")
     sifted = written(lists.mapInArrow(_complete_lists(2, _sift), "key long, w0 long").distinct(), "sifted")
     names = [f"v{k}" for k in range(WIDE_WORDS)]
     full = fps.select(F.col("fp.w0").alias("w0"), "node", *[F.col(f"fp.w{k}").alias(f"v{k}") for k in range(WIDE_WORDS)])
@@ -413,7 +436,8 @@ def similar(docs: DataFrame, words: int = 5, most: int = WIDE_MOST, similarity:
 
 def deduplicate(docs: DataFrame, words: int = 5, most: int = WIDE_MOST, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component of ``similar`` texts, the one that stands for it; all columns stay as they are."""
-    kept = similar(docs, words, most, similarity).filter("stands").select(F.col("doc_id").alias("__kept_id"), F.col("body").alias("__kept_body")).distinct()
-    own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__body": _body()})
-    joined = own.join(kept, own["__id"].eqNullSafe(kept["__kept_id"]) & (own["__body"] == kept["__kept_body"]), "left_semi")
-    return one_of_each(joined, "__id", "__body").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = similar(docs, words, most, similarity).filter("stands").select(F.col("doc_id").alias("kept_id"), F.col("body").alias("kept_body")).distinct()
+    own_id, own_body = fresh(docs, "own_id"), fresh(docs, "own_body")
+    own = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_body: _body()})
+    joined = own.join(kept, own[own_id].eqNullSafe(kept["kept_id"]) & (own[own_body] == kept["kept_body"]), "left_semi")
+    return one_of_each(joined, own_id, own_body).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -48,6 +48,8 @@ ORDINARY, TRAINED, PIECE, STEP, MOST_WINDOWS = 24_000, 20_000, 10, 2, 200_000
 #: has to save toxic windows than ordinary ones, in how many documents, and by how many bytes.
 ROUNDS, EXPLAINED, ODDS, LEAST_DOCS, LEAST_SAVED = 6, (0.6, 0.0), 8, 4, 6
 MOST_DISTANCE = 24
+#: What a clean document left alone counts against a toxic one caught, where the threshold is set.
+CLEAN_WEIGHT = 2.0
 
 _OTHER = re.compile(r"[\W_]+")
 _TAIL = bytes(range(1, 9))  # zstandard begins no match in the last eight bytes of its input
@@ -196,7 +198,7 @@ def calibrated(model: Model, texts: list[tuple[str, int]]) -> Model:
     order = np.unique(told)
     for low, high in zip(np.r_[order[0] - 2, order], np.r_[order, order[-1] + 2], strict=True):
         said = told >= (low + high) / 2
-        best = max(best, (round((said[label == 1].mean() + (~said)[label == 0].mean()) / 2, 4), float((low + high) / 2)))
+        best = max(best, (round(said[label == 1].mean() + CLEAN_WEIGHT * (~said)[label == 0].mean(), 4), float((low + high) / 2)))
     model.threshold = best[1]
     return model
 

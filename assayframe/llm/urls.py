@@ -16,7 +16,7 @@ Verdict. The deepest node below the root with at least ``support`` labelled urls
 decides by its smoothed purity, (bad + prior x weight) / (n + weight), the prior being its
 parent's, at first the host's; from ``reject_at`` on it is rejected. Where a host has no such node, the
 same tree over the paths of all hosts decides, with the url's own host as the prior; its templates begin
-with ``*``. Only urls without a node there either have no template, and are allowed.
+with ``*``. Home pages are left out of that, and urls without a node there either: they have no template, and are allowed.
 
 Every count is a grouped sum over all urls; one host may have any share of them, as sums are combined before the
 shuffle and verdicts are joined per template, not per url. A level is a round, and rounds end where no
@@ -115,6 +115,7 @@ def decide(urls: DataFrame, alike: float = 2.0, weight: float = 8.0, support: in
     hosts = own.groupBy("host").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("prior"), F.count("*").alias("leaves"))
     own = written(meet(own, written(hosts, "url_hosts"), "host", "leaves"), "url_trees")
     shared = template_tree(urls.withColumn("host", F.lit("*")), alike, weight, support)
+    shared = shared.withColumns({c: F.when(F.col("leaf") != "/", F.col(c)) for c in ("template", "purity", "labelled")})  # home pages have nothing in common
     among = own.groupBy("leaf").agg(F.count("*").alias("among"))
     shared = shared.join(among, "leaf").select("leaf", "among", F.concat("host", "template").alias("shared"), F.col("purity").alias("shared_purity"), F.col("labelled").alias("shared_n"))
     both = meet(own.drop("labelled", "bad", "n"), written(shared, "url_shared"), "leaf", "among")

@@ -15,7 +15,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from assayframe.llm.common import meet, new_path, written
 
+#: Field for a url that has to be quoted to be a URI.
+RAW_URL = "X-Unquoted-URL"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES, READ_BYTES, LEVEL = 64_000_000, 1 << 16, 4
@@ -55,15 +57,21 @@ def record_id(page_id: int | None) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record, uncompressed. A revisit has the response's HTTP header and no payload."""
+    """One record, uncompressed. A revisit has the response's HTTP header and no payload.
+
+    The record's id is the page's, so rows that repeat a page_id have records of equal ids. A url that isn't a
+    valid URI is quoted, and is given as it is in a field of its own.
+    """
     head = HTTP % len(payload)
     block = head if refers_to is not None else head + payload
+    safe = quote(url or "", safe=":/?#[]@!$&'()*+,;=~%", encoding="utf-8", errors="surrogatepass")
     b32 = lambda h: "sha1:" + base64.b32encode(h).decode()
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", record_id(page_id)),
         ("WARC-Date", DATE),
-        *([("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=~%", encoding="utf-8", errors="surrogatepass"))] if url else []),
+        *([("WARC-Target-URI", safe)] if url else []),
+        *([(RAW_URL, base64.b64encode(url.encode("utf-8", "surrogatepass")).decode())] if url and safe != url else []),
         ("WARC-Payload-Digest", b32(bytes.fromhex(digest))),
         ("WARC-Block-Digest", b32(hashlib.sha1(block).digest())),
         *([("WARC-Refers-To", record_id(refers_to)), ("WARC-Profile", REVISIT_PROFILE)] if refers_to is not None else []),
@@ -195,7 +203,7 @@ def read(files: DataFrame, with_payload: bool = True) -> DataFrame:
             for r in read_file(stream):
                 f = r["fields"]
                 payload = r["payload"] if with_payload and f["WARC-Type"] == "response" else None
-                url = unquote(f["WARC-Target-URI"], errors="surrogatepass") if "WARC-Target-URI" in f else None
+                url = base64.b64decode(f[RAW_URL]).decode("utf-8", "surrogatepass") if RAW_URL in f else f.get("WARC-Target-URI")
                 yield _page(f["WARC-Record-ID"]), url, payload, int(r["http"]["Content-Length"]), r["payload_digest"], f["WARC-Type"], _page(f.get("WARC-Refers-To"))
 
     types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]

@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import io
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -21,7 +23,7 @@ PAGES = [
     (7, "http://c.org/", "x" * 300_000, "c"),
     (None, "http://c.org/", "x" * 300_000, "c"),
     (8, "http://d.org/", "y" * 999, "c"),
-    (9, "http://d.org/", "y" * 999, "c"),
+    (9, "http://d.org/x%20y%2Fz", "y" * 999, "c"),
 ]
 PAGE_SCHEMA = "page_id long, url string, html string, digest string"
 
@@ -80,33 +82,58 @@ TURNS = [
     (4, 0, "user", "long " * 50_000, "c"),
     (4, 1, "assistant", "<" * 70_000, "c"),
 ]
-TURN_SCHEMA = "conv_id long, turn long, role string, text string, segment string"
-
-
-def test_chat_round_trip(spark):
-    formatted = chat.segments(spark.createDataFrame(TURNS, TURN_SCHEMA).repartition(3))
-    got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(formatted).collect()}
-    size = {}
-    for r in formatted.collect():
-        size[r.conv_id] = size.get(r.conv_id, 0) + len(r.segment)
-    for conv in {t[0] for t in TURNS}:
-        own = [(t[2] or "", t[3] or "") for t in sorted((t for t in TURNS if t[0] == conv), key=lambda t: t[1] or 0)]
-        said = "".join(x for r, x in own if r == "assistant")
-        whole = "".join(f"{r}\n{x}\n" for r, x in own)
-        assert got[conv] == (len(own), hashlib.sha256(whole.encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), size[conv])
+TURN_SCHEMA = "conv_id long, turn long, role string, text string, chunk string"
+
+
+def _expected(conv):
+    own = [(t[2] or "", t[3] or "") for t in sorted((t for t in TURNS if t[0] == conv), key=lambda t: t[1] or 0)]
+    said = "".join(x for r, x in own if r == "assistant")
+    whole = "".join(f"{r}\n{x}\n" for r, x in own)
+    return len(own), hashlib.sha256(whole.encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("rows_at_once", [10_000, 2])
+def test_chat_round_trip(spark, rows_at_once):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
+    try:
+        chunks = chat.formatted(spark.createDataFrame(TURNS, TURN_SCHEMA).repartition(3)).collect()
+        got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(spark.createDataFrame(chunks, chat.FORMATTED)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    size = Counter()
+    for r in chunks:
+        size[r.conv_id] += len(r.text)
+    assert got == {conv: (*_expected(conv), size[conv]) for conv in {t[0] for t in TURNS}}
+    assert rows_at_once == 2 or max(Counter(r.conv_id for r in chunks).values()) == 1
+
+
+def test_chat_chunks_are_read_however_they_are_cut(spark):
+    """Chunks of three characters cut marks, escapes and masks."""
+    whole = [r for r in chat.formatted(spark.createDataFrame([t for t in TURNS if len(t[3] or "") < 100], TURN_SCHEMA).coalesce(1)).collect()]
+    rows = []
+    for r in whole:
+        covered = {i for x in r.loss for i in range(x.begin, x.end)}
+        at = 0
+        for k in range(0, len(r.text), 3):
+            part = r.text[k : k + 3]
+            own = sorted(i - at for i in covered if at <= i < at + len(part.encode()))
+            rows.append((r.conv_id, k, part, [(i, i + 1) for i in own] if part.isascii() else [(own[0], own[-1] + 1)] if own else []))
+            at += len(part.encode())
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(spark.createDataFrame(rows, chat.FORMATTED).repartition(3)).collect()}
+    assert got == {r.conv_id: _expected(r.conv_id) for r in whole}
 
 
 def test_chat_marks_never_come_from_texts(spark):
-    formatted = chat.segments(spark.createDataFrame([(1, 0, "user", TRICKY, "c")], TURN_SCHEMA)).first().segment
-    assert formatted.startswith("[INST] ") and formatted.endswith(" [/INST]")
-    assert "</s>" not in formatted and formatted.count("[INST]") == 1
-    assert chat.parse(formatted) == ("user", TRICKY)
-    with pytest.raises(ValueError):
-        chat.parse(formatted + formatted)
+    text = chat.formatted(spark.createDataFrame([(1, 0, "user", TRICKY, "c"), (1, 1, "judge", TRICKY, "c")], TURN_SCHEMA)).first().text
+    assert text.startswith("[INST] ") and text.endswith(" [/ROLE]")
+    assert "</s>" not in text and text.count("[INST]") == 1
+    assert [x[:2] for x in chat.turns_of(text)] == [("user", TRICKY), ("judge", TRICKY)]
+    with pytest.raises(Exception, match="ends within a turn"):
+        chat.read_back(spark.createDataFrame([(1, 0, text + "stray", [])], chat.FORMATTED)).collect()
 
 
 def test_chat_of_an_empty_table(spark):
-    assert chat.read_back(chat.segments(spark.createDataFrame([], TURN_SCHEMA))).collect() == []
+    assert chat.read_back(chat.formatted(spark.createDataFrame([], TURN_SCHEMA))).collect() == []
 
 
 def _host_path(url):
@@ -127,13 +154,13 @@ URLS = [
 
 def test_url_rules_against_brute_force(spark):
     rows = [(i, u, "c") for i, u in enumerate(URLS)] + [(0, None, "c"), (None, "http://net/", "c")]
-    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, host string"), urls.RULES).collect())
+    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule or not r.host else "tree") for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, host string"), urls.RULES).collect())
     expected = Counter()
     for i, u, _ in rows:
         host, path = _host_path(u)
         fits = [r for r in urls.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
         best = max(fits, key=lambda r: len(r.name), default=None)
-        expected[(i, host, path, best.name if best else None, best.verdict if best else "allow")] += 1
+        expected[(i, host, path, best.name if best else None, best.verdict if best else "tree" if host else "allow")] += 1
     assert got == expected
 
 
@@ -144,7 +171,8 @@ def test_url_templates_are_rejected_by_purity(spark):
     out = {r.page_id: r for r in urls.judge(df, (), spark.createDataFrame(labels, "page_id long, label int")).collect()}
     assert {out[i].verdict for i in range(40)} == {"allow"}
     assert {out[100 + i].verdict for i in range(40)} == {"block"}
-    assert {out[200 + i].verdict for i in range(10)} == {"allow"}
+    assert {out[200 + i].verdict for i in range(10)} == {"block"}  # by a template that the hosts share
+    assert out[205].template == "*/spam/{number}.html"
     assert out[105].template == "/spam/{number}.html"
 
 
@@ -159,5 +187,82 @@ def test_url_templates_pool_variable_words(spark):
     assert out[350].template == "/{*}/casino"
 
 
+def _kind(s):
+    if re.fullmatch(r"\d+", s):
+        return "{number}"
+    if re.fullmatch(r"\d+\.\w{1,5}", s):
+        return "{number}." + s.split(".")[1]
+    return s
+
+
+def _tree(urls_, alike=2.0, weight=8.0, support=5):
+    """Template, purity and labels for each (host, path): the definition, level by level, with dicts."""
+    leaves = {(h, p): [_kind(s) for s in p.removeprefix("/").split("/")] for h, p, _ in urls_}
+    bad, n = Counter(), Counter()
+    for h, p, y in urls_:
+        bad[h, p] += y == 1
+        n[h, p] += y is not None
+    prefix, out = {k: "" for k in leaves}, {k: (None, None, None) for k in leaves}
+    for d in range(max(map(len, leaves.values()))):
+        here = {k: (k[0], prefix[k], parts[d]) for k, parts in leaves.items() if len(parts) > d}
+        b, m, pool_b, pool_n, pool, ways, all_b, all_n = (Counter() for _ in range(8))
+        for k, x in here.items():
+            b[x] += bad[k]
+            m[x] += n[k]
+        for x in m:
+            ways[x[:2]] += 1
+            all_b[x[:2]] += b[x]
+            all_n[x[:2]] += m[x]
+            if m[x] < support:
+                pool[x[:2]] += 1
+                pool_b[x[:2]] += b[x]
+                pool_n[x[:2]] += m[x]
+        node, node_b, node_n, prior = {}, Counter(), Counter(), {}
+        for x in m:
+            up = x[:2]
+            prior[up] = (all_b[up] + 0.5) / (all_n[up] + 1)
+            pooled = m[x] < support and pool[up] > 1
+            k, y = (pool_n[up], pool_b[up]) if pooled else (m[x], b[x])
+            share = (y + prior[up] * weight) / (k + weight)
+            same = ways[up] > 1 and k >= support and abs(share - prior[up]) <= alike * (prior[up] * (1 - prior[up]) / (k + 1)) ** 0.5
+            node[x] = up[1] + "/" + ("{*}" if same else "{rare}" if pooled else x[2])
+            node_b[up[0], up[1], node[x]] += b[x]
+            node_n[up[0], up[1], node[x]] += m[x]
+        for k, x in here.items():
+            at = (*x[:2], node[x])
+            prefix[k] = node[x]
+            if node_n[at] >= support:
+                out[k] = (node[x], (node_b[at] + prior[x[:2]] * weight) / (node_n[at] + weight), node_n[at])
+    return out, bad, n
+
+
+def test_url_templates_against_brute_force(spark):
+    r = random.Random(5)
+    rows, labels = [], []
+    for i in range(1500):
+        host = r.choice(["a.org", "b.org", "c.net", "d.net", "new.org"])
+        words = [r.choice(["blog", "shop", "wiki", "u1x", "joe", "ann", "eve", "bob"]) for _ in range(r.randint(0, 2))]
+        last = r.choice(["casino", "about", str(i), f"{i}.html", ""])
+        rows.append((i, f"http://{host}/" + "/".join([*words, last])))
+        if host != "new.org" and r.random() < (0.5 if host < "c" else 0.05):
+            labels.append((i, int(last == "casino" or "shop" in words) if r.random() < 0.95 else 0))
+    y = dict(labels)
+    told = [(*_host_path(u), y.get(i)) for i, u in rows]
+    own, bad, n = _tree(told)
+    every, _, _ = _tree([("*", p, x) for _, p, x in told])
+    expected = {}
+    for (i, _), (h, p, _) in zip(rows, told, strict=True):
+        template, purity, _ = own[h, p]
+        if template is None:
+            template, purity, k = every["*", p] if p.strip("/") else (None, None, None)
+            prior = (sum(v for x, v in bad.items() if x[0] == h) + 0.5) / (sum(v for x, v in n.items() if x[0] == h) + 1)
+            template, purity = (None, None) if template is None else ("*" + template, (purity * k + prior * 8) / (k + 8))
+        expected[i] = (template, purity and round(purity, 9))
+    judged = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), (), spark.createDataFrame(labels, "page_id long, label int")).collect()
+    assert {x.page_id: (x.template, x.purity and round(x.purity, 9)) for x in judged} == expected
+    assert all((x.verdict == "block") == (x.purity is not None and x.purity >= 0.5) for x in judged)
+    assert {x.verdict for x in judged if x.host == "new.org"} == {"allow", "block"}
+
+
 def test_urls_of_an_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), urls.RULES).collect() == []
