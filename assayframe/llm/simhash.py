@@ -47,7 +47,7 @@ DIFFERS, LOST, LEAST_BITS, LIST_ROWS = 0.15, 0.0025, 20, 2_000
 #: Longest lists that are compared by shifts, and as one matrix.
 SHIFTED, MATRIX = 16, 512
 #: A block of a component: its shingles, with so many added for each text.
-BLOCK_WEIGHT, TEXT_WEIGHT = 1_000_000, 250
+BLOCK_WEIGHT, TEXT_WEIGHT = 250_000, 250
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -423,7 +423,7 @@ def similar(docs: DataFrame, words: int = 5, most: int = WIDE_MOST, similarity:
     sifted = written(lists.mapInArrow(_complete_lists(2, _sift), "key long, w0 long").distinct(), "sifted")
     names = [f"v{k}" for k in range(WIDE_WORDS)]
     full = fps.select(F.col("fp.w0").alias("w0"), "node", *[F.col(f"fp.w{k}").alias(f"v{k}") for k in range(WIDE_WORDS)])
-    full = sifted.join(full, "w0").select("key", "node", *names).repartition("key").sortWithinPartitions("key")
+    full = sifted.join(full, "w0").select("key", "node", *names).repartition("key").sortWithinPartitions("key", "node")  # a list's least node links the rest, so lists of one group repeat links
     nominated = components(full.mapInArrow(_complete_lists(2 + WIDE_WORDS, _verify_wide(most)), "a long, b long"))
 
     wanted = fps.join(nominated, "node").select("node", "root", *[F.col(f"fp.w{k}").alias(f"v{k}") for k in range(WIDE_WORDS)], F.col("least.doc_id").alias("of_id"), F.col("least.body").alias("of_body"))
