@@ -32,33 +32,40 @@ def missing_results(requested: DataFrame, results: DataFrame, message: str = "no
     return left.select("PubChem_CID", F.lit("failed").alias("status"), F.lit(message).alias("error_message"))
 
 
-def run_function(keys: DataFrame, runner: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str], chunk: int = CHUNK, stop_on_error: bool = False) -> DataFrame:
+def run_function(keys: DataFrame, runner: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str], chunk: int = CHUNK, on_error: str = "mark") -> DataFrame:
     """Results of a user's function, which gets one-column frames ``CID`` of at most ``chunk`` keys on the executors.
 
     It returns frames with PubChem_CID and columns of which ``columns`` are kept,
-    as text. Keys of a chunk that raises become failed rows, or the job fails with
-    ``stop_on_error``; keys that it doesn't return become failed rows too.
+    as text. Keys that it doesn't return become failed rows, and so do those of a chunk that raises. After
+    such a chunk the next ones are run (``on_error`` "mark"), or those of the same task are left pending, without
+    a row ("stop"), or the job fails ("raise"). Other tasks run at the same time, so "stop" can't keep them back.
     """
+    if on_error not in ("mark", "stop", "raise"):
+        raise ValueError("on_error must be mark, stop or raise")
     if chunk <= 0:
         raise ValueError("chunk must be positive")
     names = [result_column_name(c) for c in columns]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped = False
         for frame in frames:
             for at in range(0, len(frame), chunk):
+                if stopped:
+                    continue
                 asked = frame["CID"].iloc[at : at + chunk]
                 message, got = "no result returned", pd.DataFrame({"PubChem_CID": []})
                 try:
                     got = runner(pd.DataFrame({"CID": asked}))
                     got = got.rename(columns={c: result_column_name(c) for c in got.columns})
                 except Exception as error:
-                    if stop_on_error:
+                    if on_error == "raise":
                         raise
+                    stopped = on_error == "stop"
                     message = str(error)
                 got = got.assign(PubChem_CID=got["PubChem_CID"].astype(str)).drop_duplicates("PubChem_CID", keep="last").set_index("PubChem_CID")
-                out = got.reindex(asked.astype(str)).reindex(columns=names)
+                told = got.astype(object).where(got.isna(), got.astype(str))  # as text before missing rows turn whole numbers into fractions
+                out = told.reindex(asked.astype(str)).reindex(columns=names)
                 hit = out.index.isin(got.index)
-                out = out.where(out.isna(), out.astype(str))
                 out.insert(0, "status", ["success" if h else "failed" for h in hit])
                 out.insert(1, "error_message", [None if h else message for h in hit])
                 yield out.reset_index(names="PubChem_CID").astype(object).where(lambda x: x.notna(), None)

@@ -60,10 +60,13 @@ def with_order_index(df: DataFrame, key: str, buckets: int = 64, name: str = "ro
 
 def hashed_ngrams(df: DataFrame, text: str, n: int = 3, n_bits: int = 256) -> DataFrame:
     """``bits``: the hashed character n-grams of a text, a stand-in where no fingerprints are given. It knows no chemistry."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    at = F.when(F.char_length(t) >= n, F.sequence(F.lit(1), F.char_length(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-    bit = lambda i: F.pmod(F.conv(F.substring(F.md5(t.substr(i, F.lit(n)).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(n_bits)).cast("int")
-    return df.withColumn("bits", F.array_sort(F.array_distinct(F.transform(at, bit))))
+    letters = F.split(F.coalesce(F.col(text), F.lit("")), "")
+    many = F.greatest(F.size(letters) - n + 1, F.lit(0))
+    grams = F.slice(letters, 1, many)
+    for k in range(1, n):  # zipped, not cut out one by one: a place in a text is found by going through all before it
+        grams = F.zip_with(grams, F.slice(letters, k + 1, many), lambda a, b: F.concat(a, b))
+    bit = lambda g: F.pmod(F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(n_bits)).cast("int")
+    return df.withColumn("bits", F.array_sort(F.array_distinct(F.transform(F.array_distinct(grams), bit))))
 
 
 def export(fingerprints: DataFrame, identity: str | None = None, method: str = "") -> tuple[DataFrame, DataFrame]:

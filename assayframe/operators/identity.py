@@ -1,8 +1,8 @@
 """Identities of data, and results kept and found by them.
 
-A row's digest, then one over the sorted digests of each bucket, then one over
+A row's digest with its number of copies, then one over the sorted digests of each bucket, then one over
 the buckets and the method: equal exactly for the same rows and method, whatever
-the partitioning, and never with more than a bucket in one place.
+the partitioning. Copies are counted before anything is gathered, so a bucket holds each different row once.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ def row_digest(columns: list[str]):
 
 def data_identity(df: DataFrame, columns: list[str], method: str = "", digits: int = BUCKET_DIGITS) -> DataFrame:
     """One row ``identity, rows``. More ``digits`` mean more and smaller buckets, and another identity."""
-    rows = df.select(row_digest(columns).alias("d"))
-    buckets = rows.groupBy(F.substring("d", 1, digits).alias("b")).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("d"))), 256).alias("h"), F.count("*").alias("n"))
+    rows = df.select(row_digest(columns).alias("d")).groupBy("d").agg(F.count("*").alias("n"))
+    own = F.array_sort(F.collect_list(F.concat("d", F.lit(":"), "n")))
+    buckets = rows.groupBy(F.substring("d", 1, digits).alias("b")).agg(F.sha2(F.concat_ws(",", own), 256).alias("h"), F.sum("n").alias("n"))
     whole = F.concat_ws("\n", F.lit(method), F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])))
     return buckets.agg(F.sha2(whole, 256).alias("identity"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 

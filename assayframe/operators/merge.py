@@ -31,9 +31,11 @@ def merge_by_key(target: DataFrame, updates: DataFrame, key: str, update_key: st
         return target
     own = _one_per(updates.select(update_key, *columns, *([sequence] if sequence else [])), update_key, sequence)
     named = own.select(F.col(update_key).alias("__key"), F.lit(True).alias("__hit"), *[F.col(f"`{c}`").alias(f"__u_{c}") for c in columns])
-    joined = target.join(named, target[key] == named["__key"], "left")
+    told, blank = target.filter(target[key].isNotNull()), target.filter(target[key].isNull())  # null keys match nothing, and would all meet in one task
+    joined = told.join(named, told[key] == named["__key"], "left")
     value = lambda c: F.when(F.col("__hit"), F.col(f"`__u_{c}`")).otherwise(F.col(f"`{c}`") if c in target.columns else F.lit(None)).alias(c)
-    return joined.select(*[value(c) if c in columns else F.col(f"`{c}`") for c in target.columns], *[value(c) for c in columns if c not in target.columns])
+    out = joined.select(*[value(c) if c in columns else F.col(f"`{c}`") for c in target.columns], *[value(c) for c in columns if c not in target.columns])
+    return out.unionByName(blank, allowMissingColumns=True)
 
 
 #: Bookkeeping columns of a property cache (fixed names).
@@ -57,9 +59,18 @@ def insert_ignore(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return target.unionByName(fresh, allowMissingColumns=True).unionByName(new.filter(~whole), allowMissingColumns=True)
 
 
-def upsert_compounds(target: DataFrame, updates: DataFrame) -> DataFrame:
-    """By CID: AIDs, Proteins and status are replaced, a name that isn't empty is kept, new compounds are added."""
-    u = updates.select("CID", "AIDs", "Proteins", "Compound_Name", "Activity_Enrichment_Status")
+def upsert_compounds(target: DataFrame, updates: DataFrame, sequence: str | None = None) -> DataFrame:
+    """By CID: AIDs, Proteins and status are replaced, a name that isn't empty is kept, new compounds are added.
+
+    Of updates that repeat a CID the last by ``sequence`` counts, with the first name that isn't empty; without
+    a sequence the greatest row is the last and the least name the first.
+    """
+    fields = ["AIDs", "Proteins", "Activity_Enrichment_Status"]
+    order = [F.col(sequence)] if sequence else []
+    named = F.coalesce("Compound_Name", F.lit("")) != ""
+    last, first = F.max(F.struct(*order, *fields)).alias("last"), F.min(F.when(named, F.struct(*order, "Compound_Name"))).alias("first")
+    once = updates.filter("CID is not null").groupBy("CID").agg(last, first)
+    u = once.select("CID", *[F.col(f"last.{c}").alias(c) for c in fields], F.coalesce("first.Compound_Name", F.lit("")).alias("Compound_Name"))
     u = u.select(F.col("CID").alias("__cid"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in u.columns if c != "CID"])
     joined = target.join(u, target["CID"] == u["__cid"], "full_outer")
     new = lambda c: F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c)
@@ -68,14 +79,14 @@ def upsert_compounds(target: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.select(*[written.get(c, F.col(f"`{c}`")) for c in target.columns])
 
 
-def upsert_cache(cache: DataFrame, results: DataFrame, fetched_at: str) -> DataFrame:
+def upsert_cache(cache: DataFrame, results: DataFrame, fetched_at: str, sequence: str | None = None) -> DataFrame:
     """Results by PubChem_CID: values as text, status and time refreshed, columns of earlier results kept where not given anew.
 
     ``results`` has PubChem_CID, status, error_message and any result columns; a
-    failed row changes status, time and message only.
+    failed row changes status, time and message only. Of rows that repeat an id the last by ``sequence`` counts.
     """
-    extra = [c for c in results.columns if c not in CACHE_COLUMNS]
-    own = _one_per(results, "PubChem_CID", None)
+    extra = [c for c in results.columns if c not in (*CACHE_COLUMNS, sequence)]
+    own = _one_per(results, "PubChem_CID", sequence)
     u = own.select(F.col("PubChem_CID").alias("__cid"), F.lit(True).alias("__hit"), F.col("status").alias("__status"), F.col("error_message").alias("__error_message"), *[F.col(f"`{c}`").cast("string").alias(f"__u_{c}") for c in extra])
     joined = cache.join(u, cache["PubChem_CID"] == u["__cid"], "full_outer")
     hit, good = F.col("__hit"), F.col("__hit") & (F.col("__status") == "success")

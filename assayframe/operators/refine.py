@@ -124,8 +124,16 @@ def keep_last(df: DataFrame, key: str, sequence: str) -> DataFrame:
 
 
 def with_row_ids(df: DataFrame, name: str = "primary_id") -> DataFrame:
-    """Rows numbered from 1 in file order, each partition on its own after the partitions' sizes are known."""
+    """Rows numbered from 1 in file order, each partition on its own after the partitions' sizes are known.
+
+    The partitions are written once, below ``spark.checkpoint.dir``, so that a task that is run again numbers no row anew.
+    """
+    from assayframe.streaming.shared import shared_path
+
     own = df.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    place = shared_path(df.sparkSession, "row-ids")
+    own.write.parquet(place)
+    own = df.sparkSession.read.schema(own.schema).parquet(place)
     sizes = sorted((r["__part"], r["count"]) for r in own.groupBy("__part").count().collect())
     bases, total = [], 0
     for part, n in sizes:
@@ -133,9 +141,3 @@ def with_row_ids(df: DataFrame, name: str = "primary_id") -> DataFrame:
         total += n
     base = df.sparkSession.createDataFrame(bases, "__part int, __base long")
     return own.join(F.broadcast(base), "__part").select((F.col("__at") + F.col("__base") + 1).alias(name), *[F.col(f"`{c}`") for c in df.columns])
-
-
-def top_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """The first n rows of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= n).drop("__rank")

@@ -98,7 +98,7 @@ _SQL = {
         string_agg(DISTINCT nullif(Unit, ''), ',' ORDER BY nullif(Unit, '')) AS units, string_agg(DISTINCT nullif(Relation, ''), ',' ORDER BY nullif(Relation, '')) AS relations
         FROM {activity} WHERE Activity_Type IN ('IC50', 'EC50') AND Activity_Value <= 80""",
     "activity_value_stats": """SELECT count(Activity_Value) AS value_count, min(Activity_Value) AS min_value, max(Activity_Value) AS max_value, count(*) FILTER (Relation IN ('>', '<', '>=', '<=')) AS qualified_count
-        FROM {activity} WHERE Unit = 'NANOMOLAR' AND AID IN ('0', '1', '2', '3', '4')""",
+        FROM {activity} WHERE Unit = 'NANOMOLAR'""",
     "activity_cids": "SELECT DISTINCT CID FROM {activity} WHERE Outcome = 'Active' AND Activity_Value >= 60",
     "activity_rows_top": "SELECT AID, CID, Result_Tag FROM {activity} WHERE Activity_Type = 'Ki' ORDER BY AID::BIGINT, CID, Result_Tag LIMIT 100",
     "activity_subset_export": "SELECT CID, AID, Protein, Activity_Type, Relation, Activity_Value, Unit, Outcome, Source_Column, Activity_Status, Result_Tag FROM {activity} WHERE Unit = 'MILLIMOLAR' AND Activity_Value BETWEEN 10 AND 20",
@@ -121,11 +121,11 @@ _SQL = {
         FROM {links} l LEFT JOIN part ON l.CID = p_partkey::VARCHAR GROUP BY l.CID""",
     "enrichment_jobs": "SELECT Protein, AID, string_agg(DISTINCT CID, ',' ORDER BY CID) AS CIDs FROM {links} GROUP BY 1, 2",
     "link_expansion": "SELECT DISTINCT CID, AID, Protein FROM {links}",
-    "expected_cid_restrict": """SELECT a.CID, a.AID, a.Result_Tag, a.Order_Key FROM {activity} a WHERE a.AID IN (SELECT AID FROM {links} WHERE CID::BIGINT % 3 = 0)
-        AND (a.AID::BIGINT % 10 = 0 OR (a.AID, a.CID) IN (SELECT (AID, CID) FROM {links} WHERE CID::BIGINT % 3 = 0))""",
+    "expected_cid_restrict": """SELECT a.CID, a.AID, a.Result_Tag, a.Order_Key FROM {activity} a WHERE a.AID IN (SELECT AID FROM {links} WHERE Protein <> 'P1')
+        AND (a.AID IN (SELECT AID FROM {links} WHERE Protein = 'P2') OR (a.AID, a.CID) IN (SELECT (AID, CID) FROM {links} WHERE Protein <> 'P1'))""",
     "protein_search": """WITH f AS (SELECT l.CID, string_agg(DISTINCT l.AID, ', ' ORDER BY l.AID) AS AIDs, string_agg(DISTINCT l.Protein, ', ' ORDER BY l.Protein) AS Proteins, any_value(p_name) AS n,
             CASE WHEN l.CID IN (SELECT CID FROM {activity} WHERE Activity_Type = 'EC50') THEN 'enriched' ELSE 'partial_or_failed' END AS s
-            FROM {links} l JOIN part ON l.CID = p_partkey::VARCHAR WHERE l.CID::BIGINT % 3 = 0 GROUP BY l.CID)
+            FROM {links} l JOIN part ON l.CID = p_partkey::VARCHAR GROUP BY l.CID)
         SELECT coalesce(t.CID, f.CID) AS CID, coalesce(f.AIDs, t.AIDs) AS AIDs, coalesce(f.Proteins, t.Proteins) AS Proteins,
             CASE WHEN f.CID IS NULL THEN t.Compound_Name ELSE coalesce(nullif(t.Compound_Name, ''), f.n) END AS Compound_Name, coalesce(f.s, t.Activity_Enrichment_Status) AS Activity_Enrichment_Status, t.Brand AS Brand
         FROM {compounds} t FULL JOIN f ON t.CID = f.CID""",
@@ -133,7 +133,27 @@ _SQL = {
         SELECT p_partkey, CASE WHEN k IS NULL THEN p_name ELSE n END AS p_name, p_size, tax FROM part LEFT JOIN u ON p_partkey = k""",
     "cache_merge": """SELECT a.CID, a.AID, a.Result_Tag, a.Order_Key, Brand, Kind FROM {activity} a
         LEFT JOIN (SELECT * FROM {properties} WHERE status = 'success' AND PubChem_CID::BIGINT % 2 = 1) p ON a.CID = p.PubChem_CID""",
-    "compound_upsert": UPSERT,
+    "compound_upsert": """WITH u AS (SELECT CID, CASE WHEN CID LIKE '%1' OR CID LIKE '%5' THEN 'newer' ELSE AIDs END AS a, Proteins AS p, CASE WHEN CID LIKE '%1' THEN 'other' ELSE Compound_Name END AS n, Activity_Enrichment_Status AS s FROM {compound_updates})
+        SELECT coalesce(t.CID, u.CID) AS CID, coalesce(a, t.AIDs) AS AIDs, coalesce(p, t.Proteins) AS Proteins, CASE WHEN u.CID IS NULL THEN t.Compound_Name ELSE coalesce(nullif(t.Compound_Name, ''), n) END AS Compound_Name,
+            coalesce(s, t.Activity_Enrichment_Status) AS Activity_Enrichment_Status, t.Brand AS Brand FROM {compounds} t FULL JOIN u ON t.CID = u.CID""",
+    "protein_search_links": "SELECT * FROM {links}",
+    "csv_load": "SELECT p_partkey::VARCHAR AS part_key, p_name, p_type FROM part",
+    "csv_row_ids": "SELECT 1::BIGINT AS first_id, count(*) AS last_id, count(*) AS ids FROM part",
+    "subgroup_export": "SELECT p_partkey::VARCHAR AS p_partkey, p_name FROM part WHERE p_name ILIKE '%ring%'",
+    "activity_export": "SELECT Activity_Type, nullif(Unit, '') AS Unit, Outcome, count(*) AS n, sum(AID::BIGINT)::BIGINT AS aid_sum FROM {activity} WHERE Activity_Type = 'Ki' GROUP BY 1, 2, 3",
+    "derived_table": "SELECT p_partkey, p_size::BIGINT AS size, CASE WHEN p_size >= 10 THEN p_size::DOUBLE END AS share FROM part",
+    "strict_projection": "SELECT p_name, p_partkey FROM part",
+    "preview_rows": "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 7",
+    "aid_cid_source": "SELECT DISTINCT AID, CID FROM {links}",
+    "title_source": "SELECT p_partkey::VARCHAR AS CID, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS Title FROM part",
+    "taxonomy_source": "SELECT DISTINCT p_brand AS name, 'brand' AS category, p_type AS entry FROM part",
+    "chunk_union": """SELECT PubChem_CID, status, Brand, NULL::VARCHAR AS error_message, NULL::VARCHAR AS Kind FROM {properties} WHERE status = 'success'
+        UNION ALL SELECT PubChem_CID, status, NULL, error_message, NULL FROM {properties} WHERE status <> 'success'
+        UNION ALL SELECT PubChem_CID, 'again', NULL, NULL, Kind FROM {properties} WHERE status = 'success'""",
+    "stored_features": "SELECT CID, AID, Protein FROM {links}",
+    "keyed_enrichment_function": f"""WITH {IDS}, k AS (SELECT DISTINCT cid FROM ids WHERE cid IS NOT NULL AND cid NOT IN (SELECT PubChem_CID FROM {{properties}} WHERE status = 'success'))
+        SELECT cid AS PubChem_CID, CASE WHEN cid::BIGINT % 2 = 1 THEN 'success' ELSE 'failed' END AS status, CASE WHEN cid::BIGINT % 2 = 0 THEN 'no result returned' END AS error_message,
+            CASE WHEN cid::BIGINT % 2 = 1 THEN (cid::BIGINT * 2)::VARCHAR END AS Double FROM k""",
     "insert_ignore_links": "SELECT * FROM {links}",
     "insert_ignore_activity": f"""WITH r AS (SELECT CID, AID, Protein, Activity_Type, Relation, Activity_Value_Raw, nullif(Unit, 'MILLIMOLAR') AS Unit, Outcome, Source_Column, Result_Tag FROM {{activity}}),
         w AS (SELECT DISTINCT {KEY} FROM r WHERE Unit IS NOT NULL), k AS (SELECT DISTINCT {KEY} FROM r WHERE Result_Tag IN ('1', '2', '7')),
@@ -174,9 +194,11 @@ _SQL = {
     "modelability_index": f"WITH {FP} SELECT round(avg(c), 9) AS modelability_index, sum(n)::BIGINT AS rows FROM (SELECT avg((outcome = nbo)::INT) AS c, count(*) AS n FROM nn GROUP BY outcome)",
     "ml_export": """SELECT row_number() OVER (ORDER BY vec_id::VARCHAR) - 1 AS row_index, sha256(vec_id::VARCHAR) AS structure_id, vec_id::VARCHAR AS id, CASE WHEN label < 5 THEN 'Active' ELSE 'Inactive' END AS outcome,
         CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, array_to_string(list_filter(range(0, 64), lambda k: embedding[k + 1] > 0), ',') AS bits FROM embeddings""",
-    "text_features": """WITH s AS (SELECT DISTINCT SMILES_Harmonized AS t FROM {activity}), g AS (SELECT DISTINCT t, ('0x' || substr(md5(substr(t, i::INT, 3)), 1, 8))::BIGINT % 256 AS b FROM (SELECT t, unnest(range(1, length(t) - 1)) AS i FROM s))
-        SELECT t AS SMILES_Harmonized, count(*) AS n_bits, sum(b)::BIGINT AS bit_sum FROM g GROUP BY t""",
-    "data_identity": """WITH d AS (SELECT sha256(to_json({'CID': CID, 'AID': AID, 'Protein': Protein})::VARCHAR) AS d FROM {links}), b AS (SELECT substr(d, 1, 3) AS b, sha256(string_agg(d, ',' ORDER BY d)) AS h, count(*) AS n FROM d GROUP BY 1)
+    "text_features": """WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), '') AS t FROM documents),
+        w AS (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM s), n AS (SELECT DISTINCT doc_id, t[i] || t[i + 1] || t[i + 2] AS w FROM w),
+        g AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 4096 AS b FROM n)
+        SELECT s.doc_id, count(b) AS n_bits, coalesce(sum(b), 0)::BIGINT AS bit_sum FROM s LEFT JOIN g ON s.doc_id = g.doc_id GROUP BY s.doc_id""",
+    "data_identity": """WITH d AS (SELECT sha256(to_json({'CID': CID, 'AID': AID, 'Protein': Protein})::VARCHAR) AS d FROM {links}), c AS (SELECT d, count(*) AS c FROM d GROUP BY d), b AS (SELECT substr(d, 1, 3) AS b, sha256(string_agg(d || ':' || c, ',' ORDER BY d)) AS h, sum(c) AS n FROM c GROUP BY 1)
         SELECT sha256('v1' || chr(10) || string_agg(h, ',' ORDER BY b)) AS identity, sum(n)::BIGINT AS rows FROM b""",
     "reuse_by_identity": "SELECT Protein, md5(string_agg(DISTINCT AID, ',' ORDER BY AID)) AS identity FROM {links} WHERE Protein < 'P3' GROUP BY Protein",
     "dataset_profile": f"""WITH p AS ({_PROFILE}), q AS (SELECT *, count(*) OVER (PARTITION BY n, cols) AS alike FROM p),
@@ -199,4 +221,10 @@ _SQL = {
     "incremental_ingest": f"SELECT Activity_Type, Outcome, count(*) AS n FROM (SELECT DISTINCT {KEY} FROM {{activity}}) GROUP BY 1, 2",
 }
 
+_SQL |= {
+    "neighbour_report": f"SELECT id, neighbour_id FROM ({_SQL['nearest_neighbours']})",
+    "metrics_json": f"SELECT m.* FROM ({_SQL['consolidate_metrics']}) m UNION ALL SELECT n.* FROM (SELECT 1) LEFT JOIN ({_SQL['consolidate_metrics']}) n ON false",
+    "json_lists": f"""SELECT SMILES_Harmonized, '["' || replace(Source_CIDs, ',', '","') || '"]' AS Source_CIDs, '["' || replace(Source_AIDs, ',', '","') || '"]' AS Source_AIDs FROM ({_SQL['consolidated']})""",
+}
+
 ORACLE_SQL = {name: with_views(sql) for name, sql in _SQL.items()}

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from assayframe.functions import text
 from assayframe.operators import activity, assay, collections, consolidate, enrich, features, identity, links, merge, neighbours, profile, refine
 from assayframe.plans.views import view
+from assayframe.sources import readers, writers
 from assayframe.sources.readers import required
 from assayframe.streaming import ingest
+from assayframe.streaming.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: Bits of the fingerprints made from embeddings and from texts.
-EMBEDDING_BITS, TEXT_BITS = 64, 256
+EMBEDDING_BITS, TEXT_BITS = 64, 4096
 #: The structure population of one activity type.
 KIND = "IC50"
 
@@ -48,7 +50,7 @@ def activity_summary(spark, sf_dir):
 
 @query
 def activity_value_stats(spark, sf_dir):
-    return activity.value_stats(activity.filtered(view(spark, sf_dir, "activity"), units=["NANOMOLAR"], aids=[str(i) for i in range(5)]))
+    return activity.value_stats(activity.filtered(view(spark, sf_dir, "activity"), units=["NANOMOLAR"]))
 
 
 @query
@@ -155,19 +157,27 @@ def link_expansion(spark, sf_dir):
 
 @query
 def expected_cid_restrict(spark, sf_dir):
-    jobs = links.jobs(view(spark, sf_dir, "links").filter("cast(CID as bigint) % 3 = 0"))
-    jobs = jobs.withColumn("CIDs", F.when(F.col("AID").cast("bigint") % 10 == 0, F.array().cast("array<string>")).otherwise(F.col("CIDs")))
+    jobs = links.jobs(view(spark, sf_dir, "links")).filter("Protein <> 'P1'")  # P1's assays have no job, P2's no expectation
+    jobs = jobs.withColumn("CIDs", F.when(F.col("Protein") == "P2", F.array().cast("array<string>")).otherwise(F.col("CIDs")))
     return links.expected_only(view(spark, sf_dir, "activity"), jobs).select("CID", "AID", "Result_Tag", "Order_Key")
 
 
-@query
-def protein_search(spark, sf_dir):
-    own = view(spark, sf_dir, "links").filter("cast(CID as bigint) % 3 = 0")
+def _search(spark, sf_dir):
+    own = view(spark, sf_dir, "links")
     titles = view(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("CID"), F.col("p_name").alias("Title"))
     got = activity.filtered(view(spark, sf_dir, "activity"), types=["EC50"])
-    known = view(spark, sf_dir, "links").filter("cast(CID as bigint) % 2 = 0")
-    compounds, _ = links.protein_search(own.select("Protein", "AID").distinct(), own.select("AID", "CID").distinct(), titles, got, view(spark, sf_dir, "compounds"), known)
-    return compounds
+    known = own.filter("Protein < 'P3'")
+    return links.protein_search(own.select("Protein", "AID").distinct(), own.select("AID", "CID").distinct(), titles, got, view(spark, sf_dir, "compounds"), known)
+
+
+@query
+def protein_search(spark, sf_dir):
+    return _search(spark, sf_dir)[0]
+
+
+@query
+def protein_search_links(spark, sf_dir):
+    return _search(spark, sf_dir)[1]
 
 
 @query
@@ -186,7 +196,11 @@ def cache_merge(spark, sf_dir):
 
 @query
 def compound_upsert(spark, sf_dir):
-    return merge.upsert_compounds(view(spark, sf_dir, "compounds"), view(spark, sf_dir, "compound_updates"))
+    """Some compounds are updated twice: the later AIDs count, and the first name that isn't empty."""
+    first = view(spark, sf_dir, "compound_updates").withColumn("Compound_Name", F.when(F.col("CID").like("%1"), "").otherwise(F.col("Compound_Name")))
+    again = first.filter("CID like '%1' or CID like '%5'").withColumns({"AIDs": F.lit("newer"), "Compound_Name": F.lit("other")})
+    updates = first.withColumn("seq", F.lit(1)).unionByName(again.withColumn("seq", F.lit(2)))
+    return merge.upsert_compounds(view(spark, sf_dir, "compounds"), updates, "seq")
 
 
 @query
@@ -354,10 +368,9 @@ def ml_export(spark, sf_dir):
 
 @query
 def text_features(spark, sf_dir):
-    """Hashed n-grams of structure keys: how many bits each has, and their sum."""
-    own = view(spark, sf_dir, "activity").select("SMILES_Harmonized").distinct()
-    made = features.hashed_ngrams(own, "SMILES_Harmonized", n_bits=TEXT_BITS)
-    return made.select("SMILES_Harmonized", F.size("bits").cast("long").alias("n_bits"), F.aggregate("bits", F.lit(0).cast("long"), lambda a, b: a + b).alias("bit_sum"))
+    """Hashed n-grams of all documents: how many bits each has, and their sum."""
+    made = features.hashed_ngrams(view(spark, sf_dir, "documents").select("doc_id", "text"), "text", n_bits=TEXT_BITS)
+    return made.select("doc_id", F.size("bits").cast("long").alias("n_bits"), F.aggregate("bits", F.lit(0).cast("long"), lambda a, b: a + b).alias("bit_sum"))
 
 
 @query
@@ -441,11 +454,129 @@ def json_props(spark, sf_dir):
 @query
 def incremental_ingest(spark, sf_dir):
     """The activity table streamed in from files, with half of it known before: every row once."""
-    from assayframe.streaming.shared import shared_path
-
     rows = view(spark, sf_dir, "activity").select(*ingest.KEY)
     files, checkpoint, table = shared_path(spark, "activity-files"), shared_path(spark, "activity-stream"), f"activity_{uuid.uuid4().hex}"
     rows.repartition(4, "Result_Tag").write.parquet(files)
     ingest.ingest(rows.filter("Result_Tag in ('1', '2', '3')"), table)
     ingest.stream(ingest.activity_stream(spark, files, rows.schema, 2), table, checkpoint).awaitTermination()
     return spark.table(table).groupBy("Activity_Type", "Outcome").agg(F.count("*").alias("n"))
+
+
+def _exported(spark, sf_dir):
+    """Part's names and types as CSV, below a header that has to be normalised."""
+    path = shared_path(spark, "csv-export")
+    writers.export_csv(view(spark, sf_dir, "part").select(F.col("p_partkey").alias(" part key "), "p_name", "p_type"), path)
+    return path
+
+
+@query
+def csv_load(spark, sf_dir):
+    return readers.csv_table(spark, _exported(spark, sf_dir)).drop("primary_id")
+
+
+@query
+def csv_row_ids(spark, sf_dir):
+    rows = readers.csv_table(spark, _exported(spark, sf_dir))
+    return rows.agg(F.min("primary_id").alias("first_id"), F.max("primary_id").alias("last_id"), F.countDistinct("primary_id").alias("ids"))
+
+
+@query
+def subgroup_export(spark, sf_dir):
+    path = shared_path(spark, "subgroup")
+    writers.export_subgroup(view(spark, sf_dir, "part"), path, "p_name", "RING", ["p_partkey", "p_name"])
+    return spark.read.option("header", True).csv(path)
+
+
+@query
+def activity_export(spark, sf_dir):
+    path = shared_path(spark, "activity-export")
+    activity.export(activity.filtered(view(spark, sf_dir, "activity"), types=["Ki"]), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.groupBy("Activity_Type", "Unit", "Outcome").agg(F.count("*").alias("n"), F.sum(F.col("AID").cast("bigint")).alias("aid_sum"))
+
+
+@query
+def derived_table(spark, sf_dir):
+    part = view(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"), F.when(F.col("p_size") < 10, float("nan")).otherwise(F.col("p_size").cast("double")).alias("share"))
+    return writers.derive_table(part, f"derived_{uuid.uuid4().hex}", {"size": "INTEGER"})
+
+
+@query
+def strict_projection(spark, sf_dir):
+    return refine.project(view(spark, sf_dir, "part"), ["p_name", "p_partkey"])
+
+
+@query
+def preview_rows(spark, sf_dir):
+    return refine.preview(view(spark, sf_dir, "part").select("p_partkey", "p_name").orderBy("p_partkey"), 7)
+
+
+@query
+def aid_cid_source(spark, sf_dir):
+    """The links as landed JSON batches; a later batch has the last word on some assays."""
+    own = view(spark, sf_dir, "links").groupBy("AID").agg(F.collect_set(F.col("CID").cast("bigint")).alias("CID"))
+    entries = lambda df: df.groupBy(F.substring("AID", 1, 2)).agg(F.collect_list(F.struct(F.col("AID").cast("bigint").alias("AID"), "CID")).alias("i"))
+    text_ = F.to_json(F.struct(F.struct(F.col("i").alias("Information")).alias("InformationList"))).alias("body")
+    body = lambda df, no: entries(df).select(F.lit(no).alias("batch_no"), F.transform("i", lambda x: x["AID"]).alias("asked"), text_)
+    first = own.withColumn("CID", F.when(F.col("AID").like("%3"), F.array(F.lit(0).cast("bigint"))).otherwise(F.col("CID")))
+    return readers.aid_cids(body(first, 1).unionByName(body(own.filter("AID like '%3'"), 2)))
+
+
+@query
+def title_source(spark, sf_dir):
+    """Part names as landed JSON titles, with blanks around them, and upper-cased ones in a later batch."""
+    part = view(spark, sf_dir, "part")
+    props = lambda df, title: df.groupBy("p_brand").agg(F.collect_list(F.struct(F.col("p_partkey").cast("bigint").alias("CID"), title.alias("Title"))).alias("p"))
+    body = lambda df, no: df.select(F.lit(no).alias("batch_no"), F.to_json(F.struct(F.struct(F.col("p").alias("Properties")).alias("PropertyTable"))).alias("body"))
+    first, later = props(part, F.concat(F.lit("  "), "p_name")), props(part.filter("p_size > 25"), F.upper("p_name"))
+    return readers.titles(body(first, 1).unionByName(body(later, 2)))
+
+
+@query
+def taxonomy_source(spark, sf_dir):
+    path = shared_path(spark, "taxonomy")
+    own = view(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.lit("brand").alias("category"), F.collect_set("p_type").alias("entries"))
+    own.write.option("maxRecordsPerFile", 1).json(path)
+    return readers.taxonomy(spark, path)
+
+
+@query
+def neighbour_report(spark, sf_dir):
+    path = shared_path(spark, "neighbours")
+    neighbours.write_report(neighbours.nearest(_fingerprints(spark, sf_dir), EMBEDDING_BITS), path)
+    return spark.read.option("header", True).csv(path).select("id", "neighbour_id")
+
+
+@query
+def chunk_union(spark, sf_dir):
+    """Chunks of one growing property table: each has columns that others lack."""
+    own = view(spark, sf_dir, "properties")
+    good, bad = own.filter("status = 'success'"), own.filter("status <> 'success'")
+    return enrich.union_chunks(good.select("PubChem_CID", "status", "Brand"), bad.select("PubChem_CID", "status", "error_message"), good.select("PubChem_CID", F.lit("again").alias("status"), "Kind"))
+
+
+@query
+def metrics_json(spark, sf_dir):
+    """The counters as JSON text and back; one text lacks a counter, and gives nulls."""
+    source = _source(spark, sf_dir)
+    told = consolidate.metrics(source, consolidate.consolidate(source, KIND))
+    names = sorted(told.columns)
+    text_ = consolidate.metrics_to_json(told)
+    both = text_.unionByName(text_.select(F.regexp_replace("metrics_json", names[0], "gone").alias("metrics_json")))
+    return consolidate.metrics_from_json(both, "metrics_json", names)
+
+
+@query
+def json_lists(spark, sf_dir):
+    out = consolidate.with_json_lists(consolidate.consolidate(_source(spark, sf_dir)))
+    return out.select("SMILES_Harmonized", "Source_CIDs", "Source_AIDs")
+
+
+@query
+def stored_features(spark, sf_dir):
+    """Computed once and stored, then restored by source and identity."""
+    own = view(spark, sf_dir, "links")
+    columns, path = list(links.LINK), shared_path(spark, "features")
+    _, manifest = identity.restore_or_compute(None, "links", "v1", lambda: own, path, columns)
+    again, _ = identity.restore_or_compute(manifest, "links", "v1", lambda: own.limit(0), shared_path(spark, "features"), columns)
+    return again

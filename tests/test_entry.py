@@ -8,7 +8,7 @@ from assayframe.plans.oracle import ORACLE_SQL
 from assayframe.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"keyed_enrichment_function", "nearest_neighbours_lsh"}
+ROWS_ONLY = {"nearest_neighbours_lsh"}
 
 
 @pytest.fixture(scope="module")

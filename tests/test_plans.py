@@ -28,8 +28,8 @@ def test_scans_read_only_what_is_needed(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    text = plan(QUERIES["activity_by_type_unit"](spark, SF).sparkSession.read.parquet(f"{SF}/part.parquet").filter("p_size > 25"))
-    assert "PushedFilters: [IsNotNull(p_size), GreaterThan(p_size,25)]" in text
+    text = plan(QUERIES["merge_by_key"](spark, SF))
+    assert "IsNotNull(l_linenumber), EqualTo(l_linenumber,2)" in text and "l_extendedprice" not in text
 
 
 def test_one_row_per_group_is_combined_before_the_shuffle(spark):
