@@ -23,7 +23,7 @@ def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def simhash_near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: a similarity of about 0.8 or more by shingles of five words."""
+    """One document of each group of near copies: a similarity of 0.8 or more by shingles of five words."""
     return simhash.deduplicate(docs)
 
 

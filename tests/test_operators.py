@@ -116,7 +116,6 @@ def test_keys_are_split_and_enrichment_is_incremental(spark):
     df = spark.createDataFrame([("1",), ("2.0",), ("bad",), (None,), ("2",)], "cid string")
     cache = spark.createDataFrame([("1", "success", "t0", None, "a"), ("2", "failed", "t0", "x", None)], "PubChem_CID string, status string, fetched_at string, error_message string, MW string")
     assert {(r.key, r.raw, r.state) for r in enrich.split_keys(df, "cid", cache).collect()} == {("1", None, "cached"), ("2", None, "pending"), (None, "bad", "invalid"), (None, None, "invalid")}
-    asked = []
 
     def runner(frame):
         if (frame["CID"] == "3").any():
