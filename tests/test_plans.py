@@ -6,7 +6,7 @@ from assayframe.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: Joins of one-row counters, and whole-table profiles, have no key to join on.
-ONE_ROW = {"consolidate_metrics", "consolidate_invariants", "collection_report"}
+ONE_ROW = {"consolidate_metrics", "consolidate_invariants", "collection_report", "metrics_json"}
 EAGER = {"incremental_ingest"}
 
 
