@@ -42,7 +42,7 @@ def usable(df: DataFrame) -> DataFrame:
 
 
 def unusable(df: DataFrame) -> DataFrame:
-    """Rows without a usable structure, with the reason."""
+    """Rows without a usable structure, with the reason (fixed values)."""
     reason = F.when(_smiles() == "", "missing_smiles_harmonized").otherwise(F.concat(F.lit("harmonization_status:"), F.when(_status() == "", "missing").otherwise(_status())))
     return df.filter(~((_smiles() != "") & _status().isin(*USABLE_STATUSES))).select(*[clean(c).alias(c) for c in ("CID", "AID", "Outcome", "SMILES_Harmonized", "SMILES_Harmonization_Status")], reason.alias("reason"))
 
@@ -144,7 +144,7 @@ def with_json_lists(consolidated: DataFrame) -> DataFrame:
 
 
 def metrics(df: DataFrame, consolidated: DataFrame) -> DataFrame:
-    """One row of the seventeen counters of a consolidation."""
+    """One row of the seventeen counters of a consolidation; their names are fixed values."""
     out = consolidated
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     is_a, is_i = F.col("Outcome") == "Active", F.col("Outcome") == "Inactive"

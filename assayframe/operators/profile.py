@@ -26,7 +26,7 @@ def origin(table: Column, tool: str) -> Column:
 
 
 def statuses(table: Column, rows: Column, columns: Column, duplicate: Column, tool: str) -> Column:
-    """Status labels of a table, in a fixed order."""
+    """Status labels of a table, in a fixed order (fixed values; the label of a tool's output is named by ``tool``)."""
     low, n = F.lower(table), F.size(columns)
     plain = F.transform(columns, lambda c: F.regexp_replace(F.lower(c), "[_ ]", ""))
     has = lambda w: F.contains(low, F.lit(w))
@@ -44,7 +44,7 @@ def statuses(table: Column, rows: Column, columns: Column, duplicate: Column, to
 
 
 def action(table: Column, status: Column, metadata_status: Column) -> Column:
-    """The recommended action: the first rule that holds."""
+    """The recommended action: the first rule that holds (fixed values)."""
     any_of = lambda *s: F.arrays_overlap(status, F.array(*[F.lit(x) for x in s]))
     return (
         F.when(table == "main", "Keep as base")
