@@ -85,6 +85,12 @@ def op10_suffix_repeats(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_lm_scoring(spark, sf_dir):
+    from assayframe.llm.language_model import score
+
+    return score(table(spark, sf_dir, "documents"), order=3)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -96,6 +102,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op6_simhash": op6_simhash,
     "op10_suffix_repeats": op10_suffix_repeats,
+    "op13_lm_scoring": op13_lm_scoring,
     "pipeline": pipeline,
 }
 
