@@ -85,6 +85,14 @@ def op10_suffix_repeats(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_alignment(spark, sf_dir):
+    from public_tokenizers import path
+
+    from assayframe.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 def op13_lm_scoring(spark, sf_dir):
     from assayframe.llm.language_model import score
 
@@ -102,6 +110,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op6_simhash": op6_simhash,
     "op10_suffix_repeats": op10_suffix_repeats,
+    "op12_alignment": op12_alignment,
     "op13_lm_scoring": op13_lm_scoring,
     "pipeline": pipeline,
 }
