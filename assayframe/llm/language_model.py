@@ -11,7 +11,8 @@ no count table is broadcast, no token of a document is shuffled by itself, and a
 for each slice. The driver sees the weights' sufficient statistics: a histogram of the held-out
 events by rounded estimates, whose number of cells has a bound that doesn't depend on the corpus.
 
-n-grams are told apart by 64-bit hashes.
+Words are told apart by hashes of 64 bits and longer n-grams by 56: of 10^12 different ones, one in 70,000 would
+share another's count. Orders up to 4 are supported.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ SLICE_TOKENS, PIECE_BYTES, ORDER, FOLDS, FOLD = 2_000_000, 1 << 20, 2, 5, 1
 #: Of the training documents one in so many is deleted from the estimates while weights are learned.
 DELETED = 5
 #: Estimates are rounded to so many steps for each power of two before events are counted.
-STEPS, NEVER = 8, 0
+STEPS, NEVER = 4, 0
+#: Words are told apart by 64 bits of hash, longer n-grams by these 56.
+TOLD_APART = np.uint64(0xFFFFFFFFFFFFFF00)
 ROUNDS, SETTLED = 200, 1e-7
 #: White space ends words; A-Z are lower-cased.
 _WORDS = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -127,7 +130,7 @@ class _Grams:
             context = np.empty_like(word)
             context[1:] = keys[-1][:-1]
             context[first] = start  # a text's first words have as many starts before them as the order asks for
-            keys.append(counting.mixed(context * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(n)))
+            keys.append(counting.mixed(context * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(n)) & TOLD_APART)
         return cls(np.repeat(np.array(row["parts"].as_py(), np.int64), lengths), first, keys)
 
 
@@ -246,11 +249,8 @@ def expectation_maximisation(given: np.ndarray, n: np.ndarray, usable: int, roun
     return weights
 
 
-def learn(cells: list[tuple[int, int]], order: int, tokens: int, vocabulary: int) -> dict[int, list[float]]:
+def learn(cell: np.ndarray, n: np.ndarray, order: int, tokens: int, vocabulary: int) -> dict[int, list[float]]:
     """Weights by bucket from the histogram of held-out events; tokens and vocabulary are those of the estimates they were counted with."""
-    if not cells:
-        return {}
-    cell, n = np.array(cells, np.int64).T
     given = [np.full(len(cell), 1 / (vocabulary + 1))]
     for k in range(order - 1, -1, -1):
         step = cell >> (11 * k) & 2047
@@ -268,8 +268,8 @@ def resolved(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fold: int
     answers = written(counting.answered(counting.ask(own, _question(order), counting.n_buckets(spark, sizes.tokens)), _sums), "lm-counts")
     vocabulary, kept_vocabulary = counting.facts(answers, 1)
     out = written(counting.joined(own, answers, _resolve(order, sizes.kept_docs), RESOLVED, RESOLVED_ARROW), "lm-resolved")
-    events = out.select(F.explode(F.arrays_zip("events", "n_events")).alias("e")).groupBy(F.col("e.events").alias("cell")).agg(F.sum("e.n_events").alias("n"))
-    weights = learn([(r.cell, r.n) for r in events.collect()], order, sizes.kept, kept_vocabulary)
+    events = out.select(F.explode(F.arrays_zip("events", "n_events")).alias("e")).groupBy(F.col("e.events").alias("cell")).agg(F.sum("e.n_events").alias("n")).toArrow()
+    weights = learn(events["cell"].to_numpy(), events["n"].to_numpy(), order, sizes.kept, kept_vocabulary)
     return out, Model(order, sizes.train, vocabulary, sizes.train_docs, weights)
 
 
