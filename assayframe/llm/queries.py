@@ -85,6 +85,12 @@ def op10_suffix_repeats(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    from assayframe.llm.search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_alignment(spark, sf_dir):
     from public_tokenizers import path
 
@@ -110,11 +116,13 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op6_simhash": op6_simhash,
     "op10_suffix_repeats": op10_suffix_repeats,
+    "op11_lexical_search": op11_lexical_search,
     "op12_alignment": op12_alignment,
     "op13_lm_scoring": op13_lm_scoring,
     "pipeline": pipeline,
 }
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
@@ -141,6 +149,17 @@ ORACLE_SQL = {
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
         FROM m GROUP BY conv_id""",
+    # Terms as arrays of lower-cased runs; // rounds down, as all numbers are positive.
+    "op11_lexical_search": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS t FROM documents),
+        s AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS all_terms FROM d WHERE len(t) > 0),
+        q AS (SELECT i, item_id, term, count(*) AS k FROM (SELECT i, item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)) GROUP BY ALL),
+        f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, n_docs),
+        x AS (SELECT i, item_id, r, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // all_terms))))::BIGINT AS score
+            FROM q JOIN f USING (term) JOIN w USING (term), s GROUP BY i, item_id, r, doc_id),
+        o AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM x WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
     "op2_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
         k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keep FROM p)
