@@ -33,7 +33,7 @@ def mixed(keys: np.ndarray) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Whole numbers as planes of their bytes, compressed; few bytes where they are small."""
+    """Whole numbers of 0 and more as planes of their bytes, compressed; few bytes where they are small."""
     least = np.min_scalar_type(int(values.max())) if len(values) else np.dtype(np.uint8)
     plain = np.ascontiguousarray(values.astype(least))
     planes = plain.view(np.uint8).reshape(-1, least.itemsize).T

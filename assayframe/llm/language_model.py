@@ -33,7 +33,7 @@ from assayframe.llm import counting
 from assayframe.llm.common import written
 from assayframe.llm.packing import slices as text_slices
 
-SLICE_TOKENS, PIECE_BYTES, ORDER, FOLDS, FOLD = 2_000_000, 1 << 20, 2, 5, 1
+SLICE_TOKENS, PIECE_BYTES, ORDER, FOLDS, FOLD = 1_500_000, 1 << 20, 2, 5, 1
 #: Of the training documents one in so many is deleted from the estimates while weights are learned.
 DELETED = 5
 #: Estimates are rounded to so many steps for each power of two before events are counted.
@@ -46,7 +46,7 @@ _WORDS = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b
 END, START = b" end", b" start"  # no word has a space
 HELD_OUT, KEPT, DELETED_PART = 0, 1, 2
 SLICES = "slice long, tokens long, train long, kept long, train_docs long, kept_docs long, ids array<long>, parts array<int>, lengths array<int>, words binary, places binary"
-RESOLVED = "slice long, ids array<long>, parts array<int>, lengths array<int>, counts binary, events array<long>, n_events array<long>"
+RESOLVED = "slice long, ids array<long>, parts array<int>, lengths array<int>, counts array<binary>, events array<long>, n_events array<long>"
 
 
 def words(text: bytes) -> Iterator[list[bytes]]:
@@ -109,38 +109,36 @@ def cut(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, slice_tokens: int
     return written(own.mapInArrow(run, SLICES), "lm-slices")
 
 
-@dataclass
-class _Grams:
-    """A slice's tokens as keys: for each order the n-gram that ends at each token."""
-
-    parts: np.ndarray
-    first: np.ndarray
-    keys: list[np.ndarray]
-
-    @classmethod
-    def of(cls, row: dict, order: int) -> _Grams:
-        hashes = np.frombuffer(row["words"].as_py(), np.uint64)
-        lengths = np.array(row["lengths"].as_py(), np.int64)
-        word = counting.mixed(hashes)[counting.unpack(row["places"].as_py())]
-        first = np.zeros(len(word), bool)
-        first[np.cumsum(lengths)[:-1]] = True
-        first[:1] = True
-        keys, start = [word], counting.mixed(np.array([xxhash.xxh64_intdigest(START)], np.uint64))[0]
-        for n in range(2, order + 1):
+def _first(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of a slice's tokens the part of its document, and whether it is the first there."""
+    lengths = np.array(row["lengths"].as_py(), np.int64)
+    first = np.zeros(int(lengths.sum()), bool)
+    first[np.cumsum(lengths)[:-1]] = True
+    first[:1] = True
+    return np.repeat(np.array(row["parts"].as_py(), np.int8), lengths), first
+
+
+def _grams(row: dict, first: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order a slice's distinct n-grams as keys, and which of them ends at each token."""
+    word = counting.mixed(np.frombuffer(row["words"].as_py(), np.uint64))[counting.unpack(row["places"].as_py())]
+    start, keys = counting.mixed(np.array([xxhash.xxh64_intdigest(START)], np.uint64))[0], word
+    for n in range(1, order + 1):
+        if n > 1:
             context = np.empty_like(word)
-            context[1:] = keys[-1][:-1]
+            context[1:] = keys[:-1]
             context[first] = start  # a text's first words have as many starts before them as the order asks for
-            keys.append(counting.mixed(context * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(n)) & TOLD_APART)
-        return cls(np.repeat(np.array(row["parts"].as_py(), np.int64), lengths), first, keys)
+            context *= np.uint64(0x9E3779B97F4A7C15)
+            context += word
+            keys = counting.mixed(context + np.uint64(n)) & TOLD_APART
+        every, place = np.unique(keys, return_inverse=True)
+        yield n, every, place.astype(np.uint32)
 
 
 def _question(order: int):
     def question(row: dict) -> Iterator[counting.Question]:
-        grams = _Grams.of(row, order)
-        for n, keys in enumerate(grams.keys, 1):
-            every, place = np.unique(keys, return_inverse=True)
-            kept, deleted = (np.bincount(place[grams.parts == p], minlength=len(every)) for p in (KEPT, DELETED_PART))
-            yield n, every, np.stack([kept, deleted])
+        parts, first = _first(row)
+        for n, every, place in _grams(row, first, order):
+            yield n, every, np.stack([np.bincount(place[parts == p], minlength=len(every)).astype(np.uint32) for p in (KEPT, DELETED_PART)])
 
     return question
 
@@ -159,7 +157,7 @@ def contexts(counts: list[np.ndarray], first: np.ndarray, documents: int) -> lis
     """For the orders from 2 on how often each token's context occurred: at a text's beginning as often as there are texts."""
     out = []
     for own in counts[:-1]:
-        before = np.empty_like(own)
+        before = np.empty(len(own), np.int64)
         before[1:] = own[:-1]
         before[first] = documents
         out.append(before)
@@ -185,25 +183,23 @@ def _rounded(x: np.ndarray) -> np.ndarray:
 
 def _resolve(order: int, kept_docs: int):
     def resolve(row: dict, answers: dict[int, np.ndarray]) -> dict:
-        grams = _Grams.of(row, order)
-        both = []
-        for n, keys in enumerate(grams.keys, 1):
-            place = np.unique(keys, return_inverse=True)[1]
-            both.append(answers[n].astype(np.int64)[:, place])
-        chosen = grams.parts == DELETED_PART
-        kept = [b[0] for b in both]
-        bucket, shares = estimates(kept, grams.first, kept_docs)
+        parts, first = _first(row)
+        kept, train, chosen = [], [], parts == DELETED_PART
+        for n, _, place in _grams(row, first, order):
+            told = answers.pop(n)
+            kept.append(told[0][place])
+            train.append(counting.pack(told[1][place]))
+        bucket, shares = estimates(kept, first, kept_docs)
         cells = bucket[chosen]
         for x in [kept[0], *shares]:
             cells = cells << 11 | _rounded(x[chosen].astype(float))
         cells, n = np.unique(cells, return_counts=True)
-        told = {k: [row[k].as_py()] for k in ("slice", "ids", "parts", "lengths")}
-        return told | {"counts": [counting.pack(np.concatenate([b[1] for b in both]))], "events": [cells.tolist()], "n_events": [n.tolist()]}
+        return {k: [row[k].as_py()] for k in ("slice", "ids", "parts", "lengths")} | {"counts": [train], "events": [cells.tolist()], "n_events": [n.tolist()]}
 
     return resolve
 
 
-RESOLVED_ARROW = pa.schema([("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("counts", pa.binary()), ("events", pa.list_(pa.int64())), ("n_events", pa.list_(pa.int64()))])
+RESOLVED_ARROW = pa.schema([("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("counts", pa.list_(pa.binary())), ("events", pa.list_(pa.int64())), ("n_events", pa.list_(pa.int64()))])
 
 
 @dataclass
@@ -284,7 +280,7 @@ def scored(slices: DataFrame, model: Model) -> DataFrame:
                 row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
                 lengths = np.array(row["lengths"].as_py(), np.int64)
                 starts = np.cumsum(lengths) - lengths
-                counts = list(counting.unpack(row["counts"].as_py()).astype(np.int64).reshape(model.order, -1))
+                counts = [counting.unpack(x).astype(np.int64) for x in row["counts"].as_py()]
                 first = np.zeros(len(counts[0]), bool)
                 first[starts] = True
                 over = lambda x: np.add.reduceat(x, starts)
