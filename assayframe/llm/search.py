@@ -244,6 +244,8 @@ class Search:
 
     def _keep(self, item: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
         good = score >= self.floors[item]
+        if not good.any():
+            return
         item, doc, score = item[good], doc[good], score[good]
         order = np.argsort(item, kind="stable")
         item, doc, score = item[order], doc[order], score[order]

@@ -47,6 +47,12 @@ def _all_pairs(docs, items, top=10):
     return out
 
 
+def test_leaves_without_a_score_that_can_enter():
+    one = search.Search(search.Items([1], {b"a": 0}, [(np.array([0]), np.array([1]))]), np.array([5]), 10, np.array([1000]))
+    one._keep(np.array([0, 0]), np.array([1, 2]), np.array([5, 6]))
+    assert one.found[0][0].tolist() == [] and one.floors.tolist() == [1000]
+
+
 @pytest.mark.parametrize("block_terms, partitions, top", [(10**6, 3, 10), (60, 2, 10), (10**6, 7, 1), (10**6, 1, 500)])
 def test_rankings_against_all_pairs(spark, block_terms, partitions, top):
     docs = spark.createDataFrame(DOCS, SCHEMA).repartition(partitions)
