@@ -218,7 +218,10 @@ _SQL = {
         k AS (SELECT * FROM o WHERE rn = 1 AND list_has_any(string_split(collections, '|'), ['de', 'bad']))
         SELECT (SELECT count(*) FROM o) AS original_rows, (SELECT count(*) FROM o WHERE rn > 1) AS duplicates_removed, (SELECT count(*) FROM o WHERE rn = 1) AS deduplicated_rows, count(*) AS retained_rows, count(*) FILTER (n_chars <= 500) AS invalid_rows FROM k""",
     "json_props": "SELECT event_type, sum((props::JSON->>'k')::BIGINT)::BIGINT AS k_sum, count(props::JSON->>'k') AS k_count FROM events GROUP BY 1",
-    "incremental_ingest": f"SELECT Activity_Type, Outcome, count(*) AS n FROM (SELECT DISTINCT {KEY} FROM {{activity}}) GROUP BY 1, 2",
+    "incremental_ingest": f"""WITH r AS (SELECT CID, AID, Protein, Activity_Type, Relation, Activity_Value_Raw, nullif(Unit, 'MILLIMOLAR') AS Unit, Outcome, Source_Column, Result_Tag FROM {{activity}})
+        SELECT Activity_Type, Outcome, Unit, count(*) AS n FROM (SELECT DISTINCT {KEY} FROM r WHERE Unit IS NOT NULL UNION ALL SELECT {KEY} FROM r WHERE Unit IS NULL
+            UNION ALL SELECT {KEY} FROM r WHERE Unit IS NULL AND Result_Tag IN ('1', '2', '3', '7')) GROUP BY 1, 2, 3""",
+    "stored_links": "SELECT * FROM {links}",
 }
 
 _SQL |= {

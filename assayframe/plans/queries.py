@@ -14,6 +14,7 @@ from assayframe.plans.views import view
 from assayframe.sources import readers, writers
 from assayframe.sources.readers import required
 from assayframe.streaming import ingest
+from assayframe.streaming.ledger import Ledger
 from assayframe.streaming.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,9 +210,14 @@ def insert_ignore_links(spark, sf_dir):
     return merge.insert_ignore(own.filter("cast(AID as bigint) % 2 = 0"), view(spark, sf_dir, "activity").select(*links.LINK), links.LINK)
 
 
+def _keyed(spark, sf_dir):
+    """Activity rows' keys; those in millimolar have no unit, so no key."""
+    return view(spark, sf_dir, "activity").withColumn("Unit", F.nullif("Unit", F.lit("MILLIMOLAR"))).select(*ingest.KEY)
+
+
 @query
 def insert_ignore_activity(spark, sf_dir):
-    rows = view(spark, sf_dir, "activity").withColumn("Unit", F.nullif("Unit", F.lit("MILLIMOLAR"))).select(*ingest.KEY)
+    rows = _keyed(spark, sf_dir)
     known = rows.filter("Result_Tag in ('1', '2', '7')").dropDuplicates(list(ingest.KEY))
     return ingest.new_rows(rows, known).groupBy("Activity_Type", "Unit").agg(F.count("*").alias("n"))
 
@@ -453,13 +459,29 @@ def json_props(spark, sf_dir):
 
 @query
 def incremental_ingest(spark, sf_dir):
-    """The activity table streamed in from files, with half of it known before: every row once."""
-    rows = view(spark, sf_dir, "activity").select(*ingest.KEY)
-    files, checkpoint, table = shared_path(spark, "activity-files"), shared_path(spark, "activity-stream"), f"activity_{uuid.uuid4().hex}"
+    """The activity table streamed in from files, with half of it known before and the first batch replayed: every key once.
+
+    Rows without a unit have no key: those of the known half and those of the stream are all kept, and the replay adds none.
+    """
+    rows = _keyed(spark, sf_dir)
+    files, checkpoint = shared_path(spark, "activity-files"), shared_path(spark, "activity-stream")
+    ledger = ingest.activity_ledger(spark, shared_path(spark, "activity-table"))
     rows.repartition(4, "Result_Tag").write.parquet(files)
-    ingest.ingest(rows.filter("Result_Tag in ('1', '2', '3')"), table)
-    ingest.stream(ingest.activity_stream(spark, files, rows.schema, 2), table, checkpoint).awaitTermination()
-    return spark.table(table).groupBy("Activity_Type", "Outcome").agg(F.count("*").alias("n"))
+    known = rows.filter("Result_Tag in ('1', '2', '3', '7')")
+    ingest.ingest(known, ledger, "known")
+    ingest.stream(ingest.activity_stream(spark, files, rows.schema, 2), ledger, checkpoint).awaitTermination()
+    ingest.ingest(known, ledger, "known")
+    return ledger.rows().groupBy("Activity_Type", "Outcome", "Unit").agg(F.count("*").alias("n"))
+
+
+@query
+def stored_links(spark, sf_dir):
+    """Links inserted into a stored table in two batches: those of even assays, then all."""
+    own = view(spark, sf_dir, "activity").select(*links.LINK)
+    ledger = Ledger(spark, shared_path(spark, "links-table"), tuple(links.LINK))
+    ledger.add(own.filter("cast(AID as bigint) % 2 = 0"), "even")
+    ledger.add(own, "all")
+    return ledger.rows()
 
 
 def _exported(spark, sf_dir):

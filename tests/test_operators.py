@@ -293,10 +293,11 @@ def test_collections(spark):
 def test_streamed_ingest_is_idempotent(spark, tmp_path):
     df = spark.createDataFrame([(str(i % 4), *["x"] * 9) for i in range(8)] + [(None, *["x"] * 9)], ", ".join(f"{k} string" for k in ingest.KEY))
     df.repartition(3).write.parquet(str(tmp_path / "in"))
+    ledger = ingest.activity_ledger(spark, f"file://{tmp_path}/table")
     for run in ("one", "two"):
         stream = ingest.activity_stream(spark, str(tmp_path / "in"), df.schema, 1)
-        ingest.stream(stream.filter("CID is not null"), "ingested_for_test", str(tmp_path / run)).awaitTermination()
-    assert spark.table("ingested_for_test").count() == 4
+        ingest.stream(stream, ledger, str(tmp_path / run)).awaitTermination()
+    assert ledger.rows().count() == 5
 
 
 def test_approximate_neighbours_cover_every_row(spark):
