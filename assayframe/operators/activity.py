@@ -49,20 +49,31 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.filter(not_blank(column)).select(column).distinct().orderBy(column)
 
 
+def distinct_count(df: DataFrame, column: str, name: str) -> DataFrame:
+    """One row: how many values other than null a column has; it reads that column alone."""
+    return df.select(F.col(f"`{column}`").alias("v")).distinct().agg(F.count("v").alias(name))
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Frames of one row each, side by side."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.agg(*[F.first(f"`{c}`", ignorenulls=True).alias(c) for c in out.columns])
+
+
 def summary(activity: DataFrame) -> DataFrame:
     """One row: rows, distinct CIDs and AIDs, least and greatest value, and the distinct values of the short columns.
 
-    The AIDs, of which there may be any number, are listed by ``distinct_values``.
+    The AIDs, of which there may be any number, are listed by ``distinct_values``. Rows are grouped by compound, and
+    assays counted by a scan of their column, so that no row is multiplied for a distinct count.
     """
-    values = lambda c: F.array_sort(F.collect_set(F.when(not_blank(c), F.col(c))))
-    return activity.agg(
-        F.count("*").alias("row_count"),
-        F.countDistinct("CID").alias("cid_count"),
-        F.countDistinct("AID").alias("aid_count"),
-        F.min("Activity_Value").alias("min_value"),
-        F.max("Activity_Value").alias("max_value"),
-        *[values(c).alias(n) for c, n in (("Activity_Type", "activity_types"), ("Outcome", "outcomes"), ("Unit", "units"), ("Relation", "relations"))],
-    )
+    short = {"activity_types": "Activity_Type", "outcomes": "Outcome", "units": "Unit", "relations": "Relation"}
+    some = lambda c: F.collect_set(F.when(not_blank(c), F.col(c)))
+    by_cid = activity.groupBy("CID").agg(F.count("*").alias("n"), F.min("Activity_Value").alias("low"), F.max("Activity_Value").alias("high"), *[some(c).alias(n) for n, c in short.items()])
+    lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(n)))).alias(n) for n in short]
+    whole = by_cid.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count("CID").alias("cid_count"), F.min("low").alias("min_value"), F.max("high").alias("max_value"), *lists)
+    return one_row(whole, distinct_count(activity, "AID", "aid_count")).select("row_count", "cid_count", "aid_count", "min_value", "max_value", *short)
 
 
 def value_stats(activity: DataFrame) -> DataFrame:

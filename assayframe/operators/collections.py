@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.functions.names import fresh
+from assayframe.operators.activity import one_row
+
 
 def listed(column: str) -> Column:
     """The collections of a pipe-delimited text."""
@@ -23,8 +26,9 @@ def in_collections(df: DataFrame, column: str, targets: list[str], logic: str =
 
 def in_categories(df: DataFrame, column: str, taxonomy: DataFrame, categories: list[str]) -> DataFrame:
     """Rows listed in any entry of the named taxonomy categories (``category, entry``)."""
-    entries = taxonomy.filter(F.col("category").isin(*categories)).select(F.col("entry").alias("__entry")).distinct()
-    hits = df.withColumn("__entry", F.explode(listed(column))).join(entries, "__entry", "left_semi").drop("__entry")
+    name = fresh("entry", df)
+    entries = taxonomy.filter(F.col("category").isin(*categories)).select(F.col("entry").alias(name)).distinct()
+    hits = df.withColumn(name, F.explode(listed(column))).join(entries, name, "left_semi").drop(name)
     return hits.dropDuplicates()
 
 
@@ -40,10 +44,10 @@ def curate(df: DataFrame, structure: str, order: str, column: str, targets: list
     """
     key = flat_structure(structure)
     first = F.min(F.struct(F.col(f"`{order}`"), *[F.col(f"`{c}`") for c in df.columns if c != order])).alias("f")
-    one = df.groupBy(key.alias("__key")).agg(first).select(*[F.col(f"f.`{c}`") for c in df.columns])
+    one = df.groupBy(key.alias("key")).agg(first).select(*[F.col(f"f.`{c}`") for c in df.columns])
     kept = in_collections(one, column, targets, logic)
-    n = lambda d, name: d.agg(F.count("*").alias(name)).withColumn("__one", F.lit(1))
+    n = lambda d, name: d.agg(F.count("*").alias(name))
     good = kept if valid is None else kept.filter(valid)
-    report = n(df, "original_rows").join(n(one, "deduplicated_rows"), "__one").join(n(kept, "retained_rows"), "__one").join(n(good, "valid_rows"), "__one")
+    report = one_row(n(df, "original_rows"), n(one, "deduplicated_rows"), n(kept, "retained_rows"), n(good, "valid_rows"))
     report = report.select("original_rows", (F.col("original_rows") - F.col("deduplicated_rows")).alias("duplicates_removed"), "deduplicated_rows", "retained_rows", (F.col("retained_rows") - F.col("valid_rows")).alias("invalid_rows"))
     return one, kept, report

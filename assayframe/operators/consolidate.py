@@ -2,16 +2,23 @@
 
 Structures with contradicting or non-binary outcomes are set aside; of the rest,
 values in micromolar are averaged geometrically, and the measurement nearest to
-the mean is the reference. All is two grouped aggregations and one join on the
-structure, so that no group's rows ever have to be in one place.
+the mean is the reference.
+
+A source's wide rows are read twice and shuffled never: once for narrow rows, from which structures, means, the references' places and
+all counters come, and once to fetch the few rows at these places.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.functions.text import clean, id_key, micromolar, outcome_label, sorted_ids
+from assayframe.functions.text import clean, id_key, micromolar, sorted_ids
+from assayframe.operators.activity import one_row
+from assayframe.operators.skew import may_hold, meet
+from assayframe.streaming.shared import written
 
 #: Columns that a source must have, statuses that make a row usable, and property columns that are carried along (fixed values).
 REQUIRED = ("CID", "AID", "Outcome", "InChIKey", "SMILES_Harmonized", "SMILES_Harmonization_Status", "Activity_Type", "Relation", "Activity_Value", "Activity_Value_Raw", "Unit")
@@ -61,21 +68,40 @@ def check_columns(df: DataFrame) -> None:
         raise ConsolidationError("missing columns: " + ", ".join(missing))
 
 
-def traces(df: DataFrame) -> DataFrame:
-    """Per structure: its sources and whether its outcomes are ``active``, ``inactive`` or other."""
-    low = F.lower(clean("Outcome"))
+#: Names of the helper columns of a source's narrow rows.
+_NARROW = ("is_usable", "smiles", "um", "cid", "aid", "outcome")
+
+
+def narrow(df: DataFrame, kind: str | None = None) -> DataFrame:
+    """What grouping needs of every row, and no wide field: whether it is usable, its structure, value in micromolar, ids and outcome."""
+    value = F.col("Activity_Value").try_cast("double")
+    eligible = (clean("Activity_Type") == F.lit(kind)) & clean("Relation").isin(*EXACT)
+    ok = (_smiles() != "") & _status().isin(*USABLE_STATUSES)
+    columns = (ok, _smiles(), F.when(eligible, micromolar(value, "Unit")), clean("CID"), clean("AID"), clean("Outcome"))
+    return df.select(*[c.alias(n) for c, n in zip(columns, _NARROW, strict=True)])
+
+
+def groups(rows: DataFrame) -> DataFrame:
+    """Per structure of narrow rows: its sources, whether its outcomes are ``active``, ``inactive`` or other, and its mean logarithm."""
+    low = F.lower("outcome")
     flag = lambda c: F.max(c.cast("int")) == 1
-    return usable(df).withColumn("smiles", _smiles()).groupBy("smiles").agg(
-        sorted_ids("CID").alias("Source_CIDs"),
-        sorted_ids("AID").alias("Source_AIDs"),
+    return rows.filter("is_usable").groupBy("smiles").agg(
+        sorted_ids("cid").alias("Source_CIDs"),
+        sorted_ids("aid").alias("Source_AIDs"),
         F.count("*").alias("Source_Row_Count"),
-        F.array_sort(F.collect_set(clean("Outcome"))).alias("Outcomes"),
+        F.array_sort(F.collect_set("outcome")).alias("Outcomes"),
         flag(low == "active").alias("has_active"),
         flag(low == "inactive").alias("has_inactive"),
         flag(~low.isin("active", "inactive")).alias("has_other"),
+        (F.sum(F.log("um").cast("decimal(38,18)")).cast("double") / F.nullif(F.count("um"), F.lit(0))).alias("log_mean"),  # summed exactly, in whatever order
     )
 
 
+def traces(df: DataFrame) -> DataFrame:
+    """Per structure: its sources and whether its outcomes are ``active``, ``inactive`` or other."""
+    return groups(narrow(df)).drop("log_mean")
+
+
 def _excluded(trace: DataFrame, which: Column, reason: str) -> DataFrame:
     return trace.filter(which).select(F.col("smiles").alias("SMILES_Harmonized"), "Source_CIDs", "Source_AIDs", "Source_Row_Count", "Outcomes", F.lit(reason).alias("reason"))
 
@@ -95,6 +121,99 @@ def row_key(columns: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
 
 
+@dataclass
+class Consolidation:
+    """A source's narrow rows and its structures, both written once; all results come from these and one look at the wide rows."""
+
+    df: DataFrame
+    kind: str
+    rows: DataFrame
+    structures: DataFrame
+
+    @classmethod
+    def of(cls, df: DataFrame, kind: str | None = None) -> Consolidation:
+        """``kind`` is the activity type; without it the source is asked (one small job) and must have exactly one."""
+        check_columns(df)
+        kind = kind if kind is not None else activity_type(df)
+        rows = written(narrow(df, kind), "narrow")
+        return cls(df, kind, rows, written(groups(rows), "structures"))
+
+    def labelled(self) -> DataFrame:
+        """The structures with one binary label."""
+        return self.structures.filter("not (has_active and has_inactive) and not has_other")
+
+    def nearest(self) -> DataFrame:
+        """Per labelled structure the place in the order of references that its best rows share: no value, distance, compound, assay.
+
+        Only narrow rows meet here. The least place is combined before the shuffle, and the rows of a hot structure stay where they are.
+        """
+        total = self.structures.agg(F.coalesce(F.sum("Source_Row_Count"), F.lit(0))).first()[0]
+        own = self.rows.filter("is_usable").select("smiles", "um", "cid", "aid")
+        met = meet(own, self.labelled().select("smiles", "log_mean", "Source_Row_Count"), "smiles", "Source_Row_Count", total)
+        first = met.groupBy("smiles").agg(F.min(F.struct(_distance(F.col("log_mean")), id_key("cid").alias("cid"), id_key("aid").alias("aid"))).alias("first"), F.first("log_mean").alias("log_mean"), F.first("Source_Row_Count").alias("n"))
+        return first.select("smiles", F.col("first.cid.text").alias("cid"), F.col("first.aid.text").alias("aid"), "log_mean", "n")
+
+    def references(self) -> DataFrame:
+        """Per labelled structure its first row in the whole order, with the wide fields that are carried along.
+
+        Wide rows are read once more; those of no reference's structure, compound and assay are dropped before anything is shuffled.
+        """
+        carried = [c for c in PROPERTIES if c in self.df.columns and c != "SMILES_Harmonized"]
+        value = F.col("Activity_Value").try_cast("double")
+        eligible = (clean("Activity_Type") == self.kind) & clean("Relation").isin(*EXACT)
+        chosen = written(self.nearest(), "nearest")
+        wide = usable(self.df).select(
+            F.xxhash64(_smiles(), clean("CID"), clean("AID")).alias("place"),
+            _smiles().alias("smiles"),
+            F.when(eligible, micromolar(value, "Unit")).alias("um"),
+            id_key("CID").alias("cid"),
+            id_key("AID").alias("aid"),
+            row_key(self.df.columns).alias("row"),
+            F.struct(*[clean(c).alias(c) for c in ("CID", "AID", "Activity_Type", "Relation", "Unit")], value.alias("Activity_Value"), "Activity_Value_Raw").alias("m"),
+            F.struct(*carried).alias("p"),
+        )
+        chosen = chosen.withColumn("place", F.xxhash64("smiles", "cid", "aid"))
+        few = may_hold(wide, F.col("place"), chosen, F.col("place"))
+        own = chosen.select(F.col("smiles").alias("of"), F.col("cid").alias("of_cid"), F.col("aid").alias("of_aid"), "place", "log_mean", "n")
+        total = self.structures.agg(F.coalesce(F.sum("Source_Row_Count"), F.lit(0))).first()[0]
+        met = meet(few, own, "place", "n", total).filter("smiles = of and cid.text = of_cid and aid.text = of_aid")
+        order = F.struct(_distance(F.col("log_mean")), "cid", "aid", "row")
+        return met.groupBy("smiles").agg(F.min_by(F.struct("um", "m", "p", "log_mean"), order).alias("b"))
+
+    def consolidated(self) -> DataFrame:
+        carried = [c for c in PROPERTIES if c in self.df.columns and c != "SMILES_Harmonized"]
+        chosen = self.labelled().drop("log_mean").join(self.references(), "smiles")
+        has = F.col("b.um").isNotNull()
+        ref = lambda c, name: F.when(has, F.col(c)).alias(name)
+        return chosen.select(
+            F.col("smiles").alias("SMILES_Harmonized"),
+            *[F.col(f"b.p.{c}").alias(c) for c in carried if c == "InChIKey"],
+            F.when(F.col("has_active"), "Active").otherwise("Inactive").alias("Outcome"),
+            *[ref(f"b.m.{c}", f"Reference_{c}") for c in ("CID", "AID", "Activity_Type", "Relation", "Activity_Value", "Activity_Value_Raw", "Unit")],
+            ref("b.um", "Reference_Activity_Value_uM"),
+            F.when(has, "selected").otherwise("no_eligible_activity").alias("Reference_Selection_Status"),
+            "Source_CIDs",
+            "Source_AIDs",
+            "Source_Row_Count",
+            F.size("Source_AIDs").cast("long").alias("Source_AID_Count"),
+            *[F.col(f"b.p.{c}").alias(c) for c in carried if c != "InChIKey"],
+            F.when(has, F.exp("b.log_mean")).alias("Geometric_Mean_Activity_uM"),
+        )
+
+    def metrics(self) -> DataFrame:
+        """The seventeen counters from what is written; no wide row is looked at."""
+        made = self.labelled().select(
+            F.when(F.col("has_active"), "Active").otherwise("Inactive").alias("Outcome"), "Source_Row_Count", "Source_AIDs",
+            F.when(F.col("log_mean").isNotNull(), "selected").otherwise("no_eligible_activity").alias("Reference_Selection_Status"),
+        )
+        return _counters(self.rows.select("is_usable"), self.structures, made)
+
+
+def _distance(log_mean: Column) -> Column:
+    """Where a row stands in the order of references: rows without a value last, then by distance to the mean."""
+    return F.struct(F.col("um").isNull().alias("last"), F.round(F.abs(F.log("um") - log_mean), DISTANCE_DECIMALS).alias("distance")).alias("near")
+
+
 def consolidate(df: DataFrame, kind: str | None = None) -> DataFrame:
     """One row per consistently labelled structure.
 
@@ -102,40 +221,7 @@ def consolidate(df: DataFrame, kind: str | None = None) -> DataFrame:
     and must have exactly one. A structure without an eligible value keeps its
     row, with null reference columns and the properties of its first measurement.
     """
-    check_columns(df)
-    kind = kind if kind is not None else activity_type(df)
-    carried = [c for c in PROPERTIES if c in df.columns and c != "SMILES_Harmonized"]
-    value = F.col("Activity_Value").try_cast("double")
-    eligible = (clean("Activity_Type") == kind) & clean("Relation").isin(*EXACT)
-    rows = usable(df).select(
-        _smiles().alias("smiles"),
-        F.when(eligible, micromolar(value, "Unit")).alias("um"),
-        F.struct(id_key("CID").alias("cid"), id_key("AID").alias("aid"), row_key(df.columns).alias("row")).alias("key"),
-        F.struct(*[clean(c).alias(c) for c in ("CID", "AID", "Activity_Type", "Relation", "Unit")], value.alias("Activity_Value"), "Activity_Value_Raw").alias("m"),
-        F.struct(*carried).alias("p"),
-    )
-    whole = traces(df).filter("not (has_active and has_inactive) and not has_other")
-    means = rows.groupBy("smiles").agg(F.avg(F.log("um")).alias("log_mean"))
-    distance = F.round(F.abs(F.log("um") - F.col("log_mean")), DISTANCE_DECIMALS)
-    order = F.struct(F.col("um").isNull().alias("last"), distance.alias("distance"), F.col("key"))
-    best = rows.join(means, "smiles").groupBy("smiles").agg(F.min_by(F.struct("um", "m", "p", "log_mean"), order).alias("b"))
-    chosen = whole.join(best, "smiles")
-    has = F.col("b.um").isNotNull()
-    ref = lambda c, name: F.when(has, F.col(c)).alias(name)
-    return chosen.select(
-        F.col("smiles").alias("SMILES_Harmonized"),
-        *[F.col(f"b.p.{c}").alias(c) for c in carried if c == "InChIKey"],
-        F.when(F.col("has_active"), "Active").otherwise("Inactive").alias("Outcome"),
-        *[ref(f"b.m.{c}", f"Reference_{c}") for c in ("CID", "AID", "Activity_Type", "Relation", "Activity_Value", "Activity_Value_Raw", "Unit")],
-        ref("b.um", "Reference_Activity_Value_uM"),
-        ref("b.log_mean", "__log_mean"),
-        F.when(has, "selected").otherwise("no_eligible_activity").alias("Reference_Selection_Status"),
-        "Source_CIDs",
-        "Source_AIDs",
-        "Source_Row_Count",
-        F.size("Source_AIDs").cast("long").alias("Source_AID_Count"),
-        *[F.col(f"b.p.{c}").alias(c) for c in carried if c != "InChIKey"],
-    ).withColumn("Geometric_Mean_Activity_uM", F.exp("__log_mean")).drop("__log_mean")
+    return Consolidation.of(df, kind).consolidated()
 
 
 def with_json_lists(consolidated: DataFrame) -> DataFrame:
@@ -144,28 +230,33 @@ def with_json_lists(consolidated: DataFrame) -> DataFrame:
 
 
 def metrics(df: DataFrame, consolidated: DataFrame) -> DataFrame:
-    """One row of the seventeen counters of a consolidation; their names are fixed values."""
-    out = consolidated
+    """One row of the seventeen counters of a consolidation; their names are fixed values.
+
+    Where the ``Consolidation`` is at hand, its own ``metrics`` look at neither table again.
+    """
+    rows = narrow(df)
+    return _counters(rows, groups(rows), consolidated)
+
+
+def _counters(rows: DataFrame, structures: DataFrame, made: DataFrame) -> DataFrame:
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     is_a, is_i = F.col("Outcome") == "Active", F.col("Outcome") == "Inactive"
-    ok = (_smiles() != "") & _status().isin(*USABLE_STATUSES)
-    source = df.agg(F.count("*").alias("source_row_count"), n(ok).alias("valid_source_row_count"), n(~ok).alias("unusable_row_count"))
-    both, other = F.col("has_active") & F.col("has_inactive"), F.col("has_other")
-    trace = traces(df).agg(F.count("*").alias("unique_structure_count"), n(both).alias("conflicting_structure_count"), n(~both & other).alias("non_binary_structure_count"))
-    made = out.agg(
+    ok, both, other = F.col("is_usable"), F.col("has_active") & F.col("has_inactive"), F.col("has_other")
+    source = rows.agg(F.count("*").alias("source_row_count"), n(ok).alias("valid_source_row_count"), n(~ok).alias("unusable_row_count"))
+    trace = structures.agg(F.count("*").alias("unique_structure_count"), n(both).alias("conflicting_structure_count"), n(~both & other).alias("non_binary_structure_count"))
+    out = made.agg(
         F.count("*").alias("created_row_count"),
         n(is_a).alias("active_structure_count"),
         n(is_i).alias("inactive_structure_count"),
-        F.coalesce(F.sum(F.when(is_a, F.col("Source_Row_Count"))), F.lit(0)).alias("active_source_observation_count"),
-        F.coalesce(F.sum(F.when(is_i, F.col("Source_Row_Count"))), F.lit(0)).alias("inactive_source_observation_count"),
-        F.coalesce(F.sum(F.col("Source_Row_Count") - 1), F.lit(0)).alias("consolidated_duplicate_count"),
-        F.coalesce(F.sum("Source_Row_Count"), F.lit(0)).alias("represented_source_row_count"),
+        n(F.when(is_a, F.col("Source_Row_Count"))).alias("active_source_observation_count"),
+        n(F.when(is_i, F.col("Source_Row_Count"))).alias("inactive_source_observation_count"),
+        n(F.col("Source_Row_Count") - 1).alias("consolidated_duplicate_count"),
+        n(F.col("Source_Row_Count")).alias("represented_source_row_count"),
         n(F.col("Reference_Selection_Status") == "selected").alias("selected_reference_count"),
         n(F.col("Reference_Selection_Status") == "no_eligible_activity").alias("no_eligible_activity_count"),
     )
-    aids = out.select("Outcome", F.explode("Source_AIDs").alias("aid")).agg(F.countDistinct(F.when(F.col("Outcome") == "Active", F.col("aid"))).alias("active_distinct_aid_count"), F.countDistinct(F.when(F.col("Outcome") == "Inactive", F.col("aid"))).alias("inactive_distinct_aid_count"))
-    one = lambda d: d.withColumn("__one", F.lit(1))
-    return one(source).join(one(trace), "__one").join(one(made), "__one").join(one(aids), "__one").drop("__one")
+    aids = made.select("Outcome", F.explode("Source_AIDs").alias("aid")).distinct().agg(n(is_a).alias("active_distinct_aid_count"), n(is_i).alias("inactive_distinct_aid_count"))
+    return one_row(source, trace, out, aids)
 
 
 #: What must hold of the counters, in SQL.
@@ -197,12 +288,12 @@ def metrics_to_json(metric_row: DataFrame) -> DataFrame:
 def metrics_from_json(df: DataFrame, column: str, names: list[str]) -> DataFrame:
     """The counters of a JSON text; all null where a field is missing or an invariant is broken."""
     parsed = F.from_json(column, ", ".join(f"{n} long" for n in sorted(names)))
-    whole = df.withColumn("__m", parsed)
+    whole = df.select(parsed.alias("m"))
     good = F.lit(True)
     for n in names:
-        good &= F.col(f"__m.{n}").isNotNull()
-    rows = whole.select(*[F.when(good, F.col(f"__m.{n}")).alias(n) for n in sorted(names)])
+        good &= F.col(f"m.{n}").isNotNull()
+    rows = whole.select(*[F.when(good, F.col(f"m.{n}")).alias(n) for n in sorted(names)])
     holds = F.lit(True)
     for e in INVARIANTS.values():
         holds &= F.coalesce(F.expr(e), F.lit(False))
-    return rows.withColumn("__ok", holds).select(*[F.when(F.col("__ok"), F.col(n)).alias(n) for n in sorted(names)])
+    return rows.select(*[F.when(holds, F.col(n)).alias(n) for n in sorted(names)])

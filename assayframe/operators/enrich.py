@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.functions.names import fresh
 from assayframe.functions.text import compound_id, result_column_name
 
 CHUNK = 500
@@ -89,8 +90,9 @@ def enrich(df: DataFrame, column: str, cache: DataFrame, properties: DataFrame |
     else:
         results = run_function(pending, runner, columns or [])
     refreshed = upsert_cache(cache, results, fetched_at)
-    keyed = df.withColumn("__cid", compound_id(F.col(f"`{column}`")))
-    return merge_cache(keyed, refreshed, "__cid").drop("__cid"), refreshed
+    cid = fresh("cid", df, refreshed)
+    keyed = df.withColumn(cid, compound_id(F.col(f"`{column}`")))
+    return merge_cache(keyed, refreshed, cid).drop(cid), refreshed
 
 
 def progress(results: DataFrame) -> DataFrame:

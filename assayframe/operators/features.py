@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.functions.text import clean, outcome_label
+from assayframe.functions.names import fresh
 from assayframe.operators.identity import data_identity
+from assayframe.operators.refine import number_partitions
+from assayframe.streaming.shared import written
 
 POPULATION_STATUSES = ("selected", "no_eligible_activity")
 SHOWN = 5
@@ -38,24 +41,24 @@ def population(consolidated: DataFrame) -> DataFrame:
     return consolidated.select(F.col("SMILES_Harmonized").alias("id"), outcome_label("Outcome").alias("outcome"))
 
 
-def with_order_index(df: DataFrame, key: str, buckets: int = 64, name: str = "row_index") -> DataFrame:
+#: Rows that a range of the order holds, about.
+RANGE_ROWS = 500_000
+
+
+def with_order_index(df: DataFrame, key: str, range_rows: int = RANGE_ROWS, name: str = "row_index") -> DataFrame:
     """Rows numbered from 0 in the order of a unique key.
 
-    A bounded sample of keys cuts the order into ranges; ranges are counted, and
-    rows are numbered within theirs, so that no task sees all rows.
+    Spark cuts the order into ranges by a sample of keys, as many as the row count asks for; the ranges are sorted
+    and written once, so no task ever sees more than a range, and a task that is run again numbers no row anew.
+    A table that has a column of that name already is an error.
     """
-    spark = df.sparkSession
-    sample = [r[0] for r in df.select(key).orderBy(F.xxhash64(key), key).limit(8 * buckets).collect()]
-    cuts = sorted(sample)[:: max(1, len(sample) // buckets)][1:]
-    range_of = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-    own = df.withColumn("__range", range_of)
-    total, bases = 0, []
-    for r in sorted(own.groupBy("__range").count().collect()):
-        bases.append((r["__range"], total))
-        total += r["count"]
-    bases = spark.createDataFrame(bases, "__range int, __base long")
-    at = F.row_number().over(Window.partitionBy("__range").orderBy(key))
-    return own.withColumn("__at", at).join(F.broadcast(bases), "__range").select((F.col("__base") + F.col("__at") - 1).alias(name), *[F.col(f"`{c}`") for c in df.columns])
+    if fresh(name, df) != name:
+        raise ValueError(f"the table has a column {name} already")
+    part, at, base = (fresh(n, df) for n in ("part", "at", "base"))
+    ranges = max(1, -(-df.count() // range_rows))
+    own = df.repartitionByRange(ranges, F.col(f"`{key}`")).sortWithinPartitions(F.col(f"`{key}`"))
+    own = written(own.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "ordered")
+    return number_partitions(own, part, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)), name, base, 0, df.columns)
 
 
 def hashed_ngrams(df: DataFrame, text: str, n: int = 3, n_bits: int = 256) -> DataFrame:

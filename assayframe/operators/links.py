@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.functions.names import fresh
 from assayframe.functions.text import clean
+from assayframe.operators.activity import distinct_count, one_row
 
 LINK = ["CID", "AID", "Protein"]
 
@@ -30,15 +32,16 @@ def fold(links: DataFrame, names: DataFrame | None = None, enriched: DataFrame |
     if names is None:
         out = out.withColumn("Compound_Name", F.lit(""))
     else:
-        one = names.groupBy("CID").agg(F.max("Title").alias("__title"))
-        out = out.join(one, "CID", "left").withColumn("Compound_Name", F.coalesce("__title", F.lit(""))).drop("__title")
+        one = names.groupBy("CID").agg(F.max("Title").alias("Compound_Name"))
+        out = out.join(one, "CID", "left").withColumn("Compound_Name", F.coalesce("Compound_Name", F.lit("")))
     return with_status(out, enriched) if enriched is not None else out
 
 
 def with_status(compounds: DataFrame, enriched: DataFrame) -> DataFrame:
-    got = enriched.select("CID").distinct().withColumn("__got", F.lit(True))
-    status = F.when(F.col("__got"), "enriched").otherwise("partial_or_failed")
-    return compounds.join(got, "CID", "left").withColumn("Activity_Enrichment_Status", status).drop("__got")
+    name = fresh("got", compounds)
+    got = enriched.select("CID").distinct().withColumn(name, F.lit(True))
+    status = F.when(F.col(name), "enriched").otherwise("partial_or_failed")
+    return compounds.join(got, "CID", "left").withColumn("Activity_Enrichment_Status", status).drop(name)
 
 
 def jobs(links: DataFrame) -> DataFrame:
@@ -54,8 +57,11 @@ def expected_only(rows: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def traceability(links: DataFrame) -> DataFrame:
-    """One row: compounds, assays, links and the proteins."""
-    return links.agg(F.countDistinct("CID").alias("cid_count"), F.countDistinct("AID").alias("aid_count"), F.count("*").alias("link_count"), joined_set("Protein").alias("proteins"))
+    """One row: compounds, assays, links and the proteins. Distinct values are grouped, not expanded row by row."""
+    by_cid = links.groupBy("CID").agg(F.count("*").alias("n"), F.collect_set(clean("Protein")).alias("p"))
+    texts = F.array_sort(F.array_distinct(F.flatten(F.collect_set("p"))))
+    whole = by_cid.agg(F.count("CID").alias("cid_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("link_count"), F.array_join(F.array_remove(texts, ""), ", ").alias("proteins"))
+    return one_row(whole, distinct_count(links, "AID", "aid_count")).select("cid_count", "aid_count", "link_count", "proteins")
 
 
 def status_histogram(compounds: DataFrame, column: str = "Activity_Enrichment_Status") -> DataFrame:
@@ -64,7 +70,10 @@ def status_histogram(compounds: DataFrame, column: str = "Activity_Enrichment_St
 
 def enrichment_scope(links: DataFrame) -> DataFrame:
     """One row: distinct (protein, assay) jobs, links and proteins."""
-    return links.agg(F.countDistinct("Protein", "AID").alias("job_count"), F.count("*").alias("link_count"), F.countDistinct("Protein").alias("protein_count"))
+    jobs = links.groupBy("Protein", "AID").agg(F.count("*").alias("n"))
+    proteins = jobs.groupBy("Protein").agg(F.count("AID").alias("jobs"), F.sum("n").alias("n"))
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return proteins.agg(count(F.when(F.col("Protein").isNotNull(), F.col("jobs"))).alias("job_count"), count("n").alias("link_count"), F.count("Protein").alias("protein_count"))
 
 
 def protein_search(aids: DataFrame, cids: DataFrame, titles: DataFrame, activity: DataFrame, compounds: DataFrame, known_links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.functions.names import fresh
+
 PREVIEW_ROWS = 10
 
 
@@ -60,8 +62,9 @@ def first_per_group(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     A least struct, so that a group of any size is combined before the shuffle.
     """
     rest = [c for c in df.columns if c != key and c not in order]
-    first = F.min(F.struct(*[F.col(f"`{c}`") for c in [*order, *rest]])).alias("__first")
-    return df.groupBy(key).agg(first).select(*[F.col(f"`{c}`") if c == key else F.col(f"__first.`{c}`") for c in df.columns])
+    one = fresh("first", df)
+    first = F.min(F.struct(*[F.col(f"`{c}`") for c in [*order, *rest]])).alias(one)
+    return df.groupBy(F.col(f"`{key}`")).agg(first).select(*[F.col(f"`{c}`") if c == key else F.col(f"`{one}`.`{c}`") for c in df.columns])
 
 
 def refine(df: DataFrame, columns: list[str], group_by: str | None = None, where: Condition | None = None, order_by: str | None = None, ascending: bool = True) -> DataFrame:
@@ -119,25 +122,31 @@ def first_seen(df: DataFrame, key: Column, sequence: str) -> DataFrame:
 def keep_last(df: DataFrame, key: str, sequence: str) -> DataFrame:
     """Per key the row with the greatest sequence."""
     rest = [c for c in df.columns if c not in (key, sequence)]
-    last = F.max(F.struct(F.col(sequence), *[F.col(f"`{c}`") for c in rest])).alias("__last")
-    return df.groupBy(key).agg(last).select(*[F.col(f"`{c}`") if c == key else F.col(f"__last.`{c}`") for c in df.columns])
+    one = fresh("last", df)
+    last = F.max(F.struct(F.col(f"`{sequence}`"), *[F.col(f"`{c}`") for c in rest])).alias(one)
+    return df.groupBy(F.col(f"`{key}`")).agg(last).select(*[F.col(f"`{c}`") if c == key else F.col(f"`{one}`.`{c}`") for c in df.columns])
 
 
 def with_row_ids(df: DataFrame, name: str = "primary_id") -> DataFrame:
     """Rows numbered from 1 in file order, each partition on its own after the partitions' sizes are known.
 
     The partitions are written once, below ``spark.checkpoint.dir``, so that a task that is run again numbers no row anew.
+    A table that has a column of that name already is an error.
     """
-    from assayframe.streaming.shared import shared_path
-
-    own = df.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    place = shared_path(df.sparkSession, "row-ids")
-    own.write.parquet(place)
-    own = df.sparkSession.read.schema(own.schema).parquet(place)
-    sizes = sorted((r["__part"], r["count"]) for r in own.groupBy("__part").count().collect())
-    bases, total = [], 0
-    for part, n in sizes:
-        bases.append((part, total - (part << 33)))
+    from assayframe.streaming.shared import written
+
+    if fresh(name, df) != name:
+        raise ValueError(f"the table has a column {name} already")
+    part, at, base = (fresh(n, df) for n in ("part", "at", "base"))
+    own = written(df.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "row-ids")
+    return number_partitions(own, part, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)), name, base, 1, df.columns)
+
+
+def number_partitions(own: DataFrame, part: str, place, name: str, base: str, start: int, columns: list[str]) -> DataFrame:
+    """Rows with the number of their partition and their place in it, numbered over all; the driver sees one count per partition."""
+    total, bases = start, []
+    for p, n in sorted((r[part], r["count"]) for r in own.groupBy(part).count().collect()):
+        bases.append((p, total))
         total += n
-    base = df.sparkSession.createDataFrame(bases, "__part int, __base long")
-    return own.join(F.broadcast(base), "__part").select((F.col("__at") + F.col("__base") + 1).alias(name), *[F.col(f"`{c}`") for c in df.columns])
+    bases = own.sparkSession.createDataFrame(bases, f"`{part}` int, `{base}` long")
+    return own.join(F.broadcast(bases), part).select((place + F.col(f"`{base}`")).alias(name), *[F.col(f"`{c}`") for c in columns])

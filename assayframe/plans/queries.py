@@ -309,14 +309,12 @@ def consolidated(spark, sf_dir):
 
 @query
 def consolidate_metrics(spark, sf_dir):
-    source = _source(spark, sf_dir)
-    return consolidate.metrics(source, consolidate.consolidate(source, KIND))
+    return consolidate.Consolidation.of(_source(spark, sf_dir), KIND).metrics()
 
 
 @query
 def consolidate_invariants(spark, sf_dir):
-    source = _source(spark, sf_dir)
-    return consolidate.invariants(consolidate.metrics(source, consolidate.consolidate(source, KIND)))
+    return consolidate.invariants(consolidate.Consolidation.of(_source(spark, sf_dir), KIND).metrics())
 
 
 @query
@@ -580,8 +578,7 @@ def chunk_union(spark, sf_dir):
 @query
 def metrics_json(spark, sf_dir):
     """The counters as JSON text and back; one text lacks a counter, and gives nulls."""
-    source = _source(spark, sf_dir)
-    told = consolidate.metrics(source, consolidate.consolidate(source, KIND))
+    told = consolidate.Consolidation.of(_source(spark, sf_dir), KIND).metrics()
     names = sorted(told.columns)
     text_ = consolidate.metrics_to_json(told)
     both = text_.unionByName(text_.select(F.regexp_replace("metrics_json", names[0], "gone").alias("metrics_json")))

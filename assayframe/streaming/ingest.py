@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from assayframe.functions.digests import key_digest, once, whole_key
 from assayframe.functions.names import fresh
 from assayframe.operators.links import expected_only
-from assayframe.streaming.ledger import Ledger, key_digest, once, whole_key
+from assayframe.streaming.ledger import Ledger
 
 #: What makes two activity rows the same (fixed key).
 KEY = ("CID", "AID", "Protein", "Activity_Type", "Relation", "Activity_Value_Raw", "Unit", "Outcome", "Source_Column", "Result_Tag")

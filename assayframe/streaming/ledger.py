@@ -15,9 +15,10 @@ import re
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayframe.functions.digests import once
 from assayframe.sources import files
 
 BUCKETS = 64
@@ -26,27 +27,6 @@ SMALL_BATCH = 1_000_000
 DIGEST = "row_digest"
 
 
-def whole_key(keys: list[str]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out &= F.col(f"`{k}`").isNotNull()
-    return out
-
-
-def key_digest(df: DataFrame, keys: list[str]) -> Column:
-    """16 bytes that tell keys apart. A key with a null equals no other, so its row gets a digest of its own, another one each time."""
-    text = lambda columns: F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"})
-    own = F.concat(F.lit(f"null {uuid.uuid4().hex} "), F.monotonically_increasing_id(), F.lit(" "), text(df.columns))
-    return F.unhex(F.md5(F.when(whole_key(keys), text(keys)).otherwise(own).cast("binary")))
-
-
-def once(df: DataFrame, keys: list[str], digest: str) -> DataFrame:
-    """One row of each key, the least, with its digest; combined before the shuffle. Rows with a null in their key all stay."""
-    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    least = df.select(key_digest(df, keys).alias(digest), rest.alias("row")).groupBy(digest).agg(F.min("row").alias("row"))
-    return least.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], digest)
-
-
 @dataclass
 class Ledger:
     """The table at a shared ``root``, keyed by ``keys``. Of equal keys the row of the first batch stays, of one batch's the least row."""
