@@ -138,9 +138,13 @@ _SQL = {
             coalesce(s, t.Activity_Enrichment_Status) AS Activity_Enrichment_Status, t.Brand AS Brand FROM {compounds} t FULL JOIN u ON t.CID = u.CID""",
     "protein_search_links": "SELECT * FROM {links}",
     "csv_load": "SELECT p_partkey::VARCHAR AS part_key, p_name, p_type FROM part",
-    "csv_row_ids": "SELECT 1::BIGINT AS first_id, count(*) AS last_id, count(*) AS ids FROM part",
+    "csv_row_ids": "SELECT row_number() OVER (ORDER BY p_partkey) AS primary_id, p_partkey::VARCHAR AS part_key FROM part",
     "subgroup_export": "SELECT p_partkey::VARCHAR AS p_partkey, p_name FROM part WHERE p_name ILIKE '%ring%'",
-    "activity_export": "SELECT Activity_Type, nullif(Unit, '') AS Unit, Outcome, count(*) AS n, sum(AID::BIGINT)::BIGINT AS aid_sum FROM {activity} WHERE Activity_Type = 'Ki' GROUP BY 1, 2, 3",
+    "activity_export": """SELECT row_number() OVER (ORDER BY AID::BIGINT, CID, Result_Tag, Order_Key) AS line, AID, CID, Result_Tag FROM {activity} WHERE Activity_Type = 'Ki'""",
+    "assay_files": """WITH w AS (SELECT AID, row_no, column_name AS c, arg_max(value, pos) AS value FROM {cells} GROUP BY ALL), h AS (SELECT AID, c, row_number() OVER (PARTITION BY AID ORDER BY c) - 1 AS pos FROM (SELECT DISTINCT AID, c FROM w)),
+        r AS (SELECT AID, row_no, row_number() OVER (PARTITION BY AID ORDER BY row_no) - 1 AS n FROM (SELECT DISTINCT AID, row_no FROM w))
+        SELECT h.AID AS AID, n AS row_no, h.pos::INT AS pos, h.c AS column, coalesce(w.value, '') AS value FROM h JOIN r ON h.AID = r.AID LEFT JOIN w ON w.AID = h.AID AND w.row_no = r.row_no AND w.c = h.c""",
+    "protein_aid_source": "SELECT DISTINCT Protein, AID FROM {links}",
     "derived_table": "SELECT p_partkey, p_size::BIGINT AS size, CASE WHEN p_size >= 10 THEN p_size::DOUBLE END AS share FROM part",
     "strict_projection": "SELECT p_name, p_partkey FROM part",
     "preview_rows": "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 7",
@@ -155,6 +159,7 @@ _SQL = {
         SELECT cid AS PubChem_CID, CASE WHEN cid::BIGINT % 2 = 1 THEN 'success' ELSE 'failed' END AS status, CASE WHEN cid::BIGINT % 2 = 0 THEN 'no result returned' END AS error_message,
             CASE WHEN cid::BIGINT % 2 = 1 THEN (cid::BIGINT * 2)::VARCHAR END AS Double FROM k""",
     "insert_ignore_links": "SELECT * FROM {links}",
+    "snapshot_upsert": UPSERT,
     "insert_ignore_activity": f"""WITH r AS (SELECT CID, AID, Protein, Activity_Type, Relation, Activity_Value_Raw, nullif(Unit, 'MILLIMOLAR') AS Unit, Outcome, Source_Column, Result_Tag FROM {{activity}}),
         w AS (SELECT DISTINCT {KEY} FROM r WHERE Unit IS NOT NULL), k AS (SELECT DISTINCT {KEY} FROM r WHERE Result_Tag IN ('1', '2', '7')),
         o AS (SELECT * FROM w EXCEPT SELECT * FROM k UNION ALL SELECT * FROM r WHERE Unit IS NULL)
@@ -198,8 +203,9 @@ _SQL = {
         w AS (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM s), n AS (SELECT DISTINCT doc_id, t[i] || t[i + 1] || t[i + 2] AS w FROM w),
         g AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 4096 AS b FROM n)
         SELECT s.doc_id, count(b) AS n_bits, coalesce(sum(b), 0)::BIGINT AS bit_sum FROM s LEFT JOIN g ON s.doc_id = g.doc_id GROUP BY s.doc_id""",
-    "data_identity": """WITH d AS (SELECT sha256(to_json({'CID': CID, 'AID': AID, 'Protein': Protein})::VARCHAR) AS d FROM {links}), c AS (SELECT d, count(*) AS c FROM d GROUP BY d), b AS (SELECT substr(d, 1, 3) AS b, sha256(string_agg(d || ':' || c, ',' ORDER BY d)) AS h, sum(c) AS n FROM c GROUP BY 1)
-        SELECT sha256('v1' || chr(10) || string_agg(h, ',' ORDER BY b)) AS identity, sum(n)::BIGINT AS rows FROM b""",
+    "data_identity": """WITH d AS (SELECT sha256(to_json({'CID': CID, 'AID': AID, 'Protein': Protein})::VARCHAR) AS d FROM {links}),
+        l AS (SELECT k, sum(('0x' || substr(d, (4 * k + 1)::INT, 4))::BIGINT)::BIGINT AS s FROM d, range(16) r(k) GROUP BY k)
+        SELECT sha256('v1' || chr(10) || (SELECT count(*) FROM d) || ',' || string_agg(s::VARCHAR, ',' ORDER BY k)) AS identity, (SELECT count(*) FROM d) AS rows FROM l""",
     "reuse_by_identity": "SELECT Protein, md5(string_agg(DISTINCT AID, ',' ORDER BY AID)) AS identity FROM {links} WHERE Protein < 'P3' GROUP BY Protein",
     "dataset_profile": f"""WITH p AS ({_PROFILE}), q AS (SELECT *, count(*) OVER (PARTITION BY n, cols) AS alike FROM p),
         s AS (SELECT *, array_to_string(list_filter([CASE WHEN n = 0 THEN 'structure_only' ELSE 'ok' END, CASE WHEN len(cols) <= 3 THEN 'few_columns' END, CASE WHEN contains(tab, 'temp') THEN 'possible_temporary' END, CASE WHEN alike > 1 THEN 'possible_duplicate' END], lambda x: x IS NOT NULL), ',') AS st FROM q)
@@ -225,7 +231,7 @@ _SQL = {
 }
 
 _SQL |= {
-    "neighbour_report": f"SELECT id, neighbour_id FROM ({_SQL['nearest_neighbours']})",
+    "neighbour_report": f"SELECT id, outcome, neighbour_id, neighbour_outcome, round(similarity, 6) AS similarity, concordant::VARCHAR AS concordant FROM ({_SQL['nearest_neighbours']})",
     "metrics_json": f"SELECT m.* FROM ({_SQL['consolidate_metrics']}) m UNION ALL SELECT n.* FROM (SELECT 1) LEFT JOIN ({_SQL['consolidate_metrics']}) n ON false",
     "json_lists": f"""SELECT SMILES_Harmonized, '["' || replace(Source_CIDs, ',', '","') || '"]' AS Source_CIDs, '["' || replace(Source_AIDs, ',', '","') || '"]' AS Source_AIDs FROM ({_SQL['consolidated']})""",
 }

@@ -13,6 +13,7 @@ from assayframe.operators import activity, assay, collections, consolidate, enri
 from assayframe.plans.views import view
 from assayframe.sources import readers, writers
 from assayframe.sources.readers import required
+from assayframe.sources.snapshots import Snapshot
 from assayframe.streaming import ingest
 from assayframe.streaming.ledger import Ledger
 from assayframe.streaming.shared import shared_path
@@ -204,6 +205,16 @@ def compound_upsert(spark, sf_dir):
     return merge.upsert_compounds(view(spark, sf_dir, "compounds"), updates, "seq")
 
 
+@query
+def snapshot_upsert(spark, sf_dir):
+    """Compounds kept in buckets and updated in place twice with the same records."""
+    table = Snapshot(spark, shared_path(spark, "compounds"), "CID")
+    table.create(view(spark, sf_dir, "compounds"))
+    for _ in range(2):
+        table.update(view(spark, sf_dir, "compound_updates"), merge.upsert_compounds)
+    return table.read()
+
+
 @query
 def insert_ignore_links(spark, sf_dir):
     own = view(spark, sf_dir, "links")
@@ -496,8 +507,9 @@ def csv_load(spark, sf_dir):
 
 @query
 def csv_row_ids(spark, sf_dir):
-    rows = readers.csv_table(spark, _exported(spark, sf_dir))
-    return rows.agg(F.min("primary_id").alias("first_id"), F.max("primary_id").alias("last_id"), F.countDistinct("primary_id").alias("ids"))
+    path = shared_path(spark, "csv-export")
+    writers.export_csv(view(spark, sf_dir, "part").select(F.col("p_partkey").alias(" part key "), "p_name"), path, order_by=[" part key "])
+    return readers.csv_table(spark, path).select("primary_id", "part_key")
 
 
 @query
@@ -511,8 +523,7 @@ def subgroup_export(spark, sf_dir):
 def activity_export(spark, sf_dir):
     path = shared_path(spark, "activity-export")
     activity.export(activity.filtered(view(spark, sf_dir, "activity"), types=["Ki"]), path)
-    back = spark.read.option("header", True).csv(path)
-    return back.groupBy("Activity_Type", "Unit", "Outcome").agg(F.count("*").alias("n"), F.sum(F.col("AID").cast("bigint")).alias("aid_sum"))
+    return readers.csv_table(spark, path, "line").select("line", "AID", "CID", "Result_Tag")
 
 
 @query
@@ -560,11 +571,35 @@ def taxonomy_source(spark, sf_dir):
     return readers.taxonomy(spark, path)
 
 
+@query
+def assay_files(spark, sf_dir):
+    """The cells as one ragged CSV per assay, with line breaks in quotes, and back."""
+    path = shared_path(spark, "assay-files")
+    last = _cells(spark, sf_dir).groupBy("AID", "row_no", "column").agg(F.max_by("value", "pos").alias("value"))
+    values = F.map_from_entries(F.collect_list(F.struct("column", F.when(F.col("value") == "n/a", "n/a,\n\"none\"").otherwise(F.col("value")))))
+    lines = last.groupBy("AID", "row_no").agg(values.alias("values"))
+    header = last.groupBy("AID").agg(F.array_sort(F.collect_set("column")).alias("header"))
+    quoted = lambda v: F.concat(F.lit('"'), F.replace(F.coalesce(v, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    told = lines.join(header, "AID").withColumn("line", F.array_join(F.transform("header", lambda c: quoted(F.col("values")[c])), ","))
+    files = told.groupBy("AID").agg(F.first("header").alias("header"), F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("l"))
+    files.select("AID", F.concat_ws("\n", F.array_join(F.transform("header", quoted), ","), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("body")).write.partitionBy("AID").text(path)
+    return readers.assay_cells(spark, path, r"AID=(\d+)").withColumn("value", F.replace("value", F.lit(',\n"none"'), F.lit("")))
+
+
+@query
+def protein_aid_source(spark, sf_dir):
+    """The proteins' assays as landed JSON, one document each."""
+    path = shared_path(spark, "protein-aids")
+    own = view(spark, sf_dir, "links").groupBy("Protein").agg(F.to_json(F.struct(F.struct(F.collect_set(F.col("AID").cast("bigint")).alias("AID")).alias("IdentifierList"))).alias("body"))
+    own.write.partitionBy("Protein").text(path)
+    return readers.protein_aids(spark, path, r"Protein=([^/]+)")
+
+
 @query
 def neighbour_report(spark, sf_dir):
     path = shared_path(spark, "neighbours")
     neighbours.write_report(neighbours.nearest(_fingerprints(spark, sf_dir), EMBEDDING_BITS), path)
-    return spark.read.option("header", True).csv(path).select("id", "neighbour_id")
+    return spark.read.option("header", True).csv(path).withColumn("similarity", F.round(F.col("similarity").cast("double"), 6))
 
 
 @query

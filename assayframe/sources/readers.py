@@ -6,28 +6,44 @@ import csv
 import io
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayframe.functions.text import clean, column_name
-from assayframe.operators.refine import with_row_ids
-
-CELLS = "AID string, row_no long, pos int, column string, value string"
+from assayframe.streaming.shared import written
 
 
 def csv_table(spark: SparkSession, path: str, row_id: str | None = "primary_id") -> DataFrame:
-    """A CSV with a header: every column as text under its stripped name, spaces to underscores, rows numbered in file order."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    named = df.toDF(*[column_name(c) for c in df.columns])
-    return with_row_ids(named, row_id) if row_id else named
-
+    """A CSV with a header: every column as text under its stripped name, spaces to underscores, rows numbered from 1 in file order.
 
-def protein_aids(spark: SparkSession, path: str) -> DataFrame:
-    """``Protein, AID`` from one JSON document per protein, the protein being the file's name."""
+    Of several files the first by name comes first. A file that has a column of the number's name already is an error.
+    """
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = df.columns
+    named = [column_name(c) for c in raw]
+    if not row_id:
+        return df.toDF(*named)
+    if row_id.lower() in {c.lower() for c in named}:
+        raise ValueError(f"the file has a column {row_id} already")
+    own = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(raw)], F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    own = written(own, "csv-rows")
+    total, bases = 1, []
+    for r in own.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n")).orderBy("file", "block").collect():  # one row per file or part of one
+        bases.append((r["file"], r["block"], total - r["first"]))
+        total += r["n"]
+    bases = spark.createDataFrame(bases, "file string, block long, base long")
+    out = own.join(F.broadcast(bases), ["file", "block"])
+    return out.select((F.col("at") + F.col("base")).alias(row_id), *[F.col(f"c{k}").alias(n) for k, n in enumerate(named)])
+
+
+def protein_aids(spark: SparkSession, path: str, protein: str = r"([^/]*?)(_aids)?\.json$") -> DataFrame:
+    """``Protein, AID`` from one JSON document per protein, which ``protein`` finds in the file's path."""
     raw = spark.read.schema("IdentifierList struct<AID: array<bigint>>").option("multiLine", True).json(path)
-    protein = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(_aids)?\.json$", 1)
-    return raw.select(protein.alias("Protein"), F.explode(F.col("IdentifierList.AID").cast("array<string>")).alias("AID")).distinct()
+    named = F.regexp_extract(F.col("_metadata.file_path"), protein, 1)
+    return raw.select(named.alias("Protein"), F.explode(F.col("IdentifierList.AID").cast("array<string>")).alias("AID")).distinct()
 
 
 def aid_cids(documents: DataFrame) -> DataFrame:
@@ -51,22 +67,76 @@ def titles(documents: DataFrame) -> DataFrame:
     return rows.groupBy("CID").agg(F.max_by("Title", "seq").alias("Title"))
 
 
-def assay_cells(spark: SparkSession, path: str) -> DataFrame:
-    """``AID, row_no, pos, column, value`` from one ragged CSV per assay, the assay being the file's name.
+_LINES = "file string, block long, line long, odd boolean, even_record long, odd_record long, value string"
 
-    Only the splitting of a file into cells is Python; a file is read by one task.
-    """
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for aid, text in zip(frame["AID"], frame["value"], strict=True):
-                lines = csv.reader(io.StringIO(text))
-                header = next(lines, [])
-                cells = [(aid, n, pos, column, value) for n, line in enumerate(lines) for pos, (column, value) in enumerate(zip(header, line, strict=False))]
-                yield pd.DataFrame(cells, columns=["AID", "row_no", "pos", "column", "value"])
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of file blocks in their order, numbered in their block, with what the quotes before them in it say.
 
-    aid = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1)
-    return spark.read.text(path, wholetext=True).select(aid.alias("AID"), "value").mapInPandas(split, CELLS)
+    ``odd``: an odd number of quotes stands before the line. ``even_record`` counts the records that have begun in the block, this
+    line's included, if the block begins outside of quotes, and ``odd_record`` if it begins inside.
+    """
+    now, line, odd, even, other = None, 0, 0, 0, 0
+    for batch in batches:
+        block = batch.column(0).cast(pa.string()).to_numpy(zero_copy_only=False) + "\n" + batch.column(1).cast(pa.string()).to_numpy(zero_copy_only=False)
+        quotes = pc.count_substring(batch.column(2), '"').to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if e == s:
+                continue
+            if block[s] != now:
+                now, line, odd, even, other = block[s], 0, 0, 0, 0
+            before = (odd + np.cumsum(quotes[s:e]) - quotes[s:e]) % 2
+            begun = np.cumsum(before == 0), np.cumsum(before == 1)
+            columns = [pa.array(line + np.arange(e - s)), pa.array(before == 1), pa.array(even + begun[0]), pa.array(other + begun[1])]
+            part = batch.slice(s, e - s)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns, part.column(2)], names=["file", "block", "line", "odd", "even_record", "odd_record", "value"])
+            line, odd = line + e - s, int(odd + quotes[s:e].sum()) % 2
+            even, other = even + int(begun[0][-1]), other + int(begun[1][-1])
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """``file, record_no, value``: the records of CSV files of any size, which may hold line breaks in quotes.
+
+    Spark cuts files into blocks and lines. A first look counts quotes and records by block; their sums along a file tell
+    for each block whether it begins inside quotes, and with which record. Lines that are a record by themselves stay where they are; only those of
+    records of several lines meet, a record at a time. Quotes are those of RFC 4180: a field with one in it is quoted.
+    """
+    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    lines = text.mapInArrow(_lines, _LINES)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    sizes = lines.select("file", "block", "even_record", "odd_record", quotes.alias("q")).groupBy("file", "block").agg(F.max("even_record").alias("even"), F.max("odd_record").alias("odd_begun"), F.sum("q").alias("q"))
+    by = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("q").over(by), F.lit(0)) % 2 == 1
+    starts = written(sizes.withColumn("inside", inside), "csv-blocks")  # one row for each block
+    begun = F.sum(F.when(F.col("inside"), F.col("odd_begun")).otherwise(F.col("even"))).over(by)
+    starts = starts.select("file", "block", "inside", F.coalesce(begun, F.lit(0)).alias("first"))
+    here = lines.join(starts, ["file", "block"])
+    number = F.col("first") + F.when(F.col("inside"), F.col("odd_record")).otherwise(F.col("even_record")) - 1
+    goes_on = F.col("odd") != F.col("inside")
+    ends = (F.when(goes_on, 1).otherwise(0) + quotes) % 2 == 0
+    own = here.select("file", number.alias("record_no"), "block", "line", "value", (~goes_on & ends).alias("whole"))
+    several = own.filter("not whole").groupBy("file", "record_no").agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("l"))
+    joined = several.select("file", "record_no", F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("value"))
+    return own.filter("whole").select("file", "record_no", "value").unionByName(joined)
+
+
+def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        told = [next(csv.reader(io.StringIO(v.removesuffix("\r"), newline="")), []) for v in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.list_(pa.string()))], names=["file", "record_no", "fields"])
+
+
+def assay_cells(spark: SparkSession, path: str, aid: str = r"(\d+)\D*$") -> DataFrame:
+    """``AID, row_no, pos, column, value`` from one ragged CSV per assay, whose number ``aid`` finds in the file's path.
+
+    A file of any size is read by many tasks (``records``); only the splitting of a record into its fields is Python. Fields beyond the header are dropped.
+    """
+    own = records(spark, path).mapInArrow(_fields, "file string, record_no long, fields array<string>")
+    header = own.filter("record_no = 0").select("file", F.col("fields").alias("header"))
+    cells = own.filter("record_no > 0").join(header, "file")
+    told = cells.select(F.regexp_extract("file", aid, 1).alias("AID"), (F.col("record_no") - 1).alias("row_no"), F.posexplode(F.arrays_zip("header", "fields")).alias("pos", "c"), F.size("fields").alias("n"), F.size("header").alias("h"))
+    return told.filter("pos < n and pos < h").select("AID", "row_no", "pos", F.col("c.header").alias("column"), F.col("c.fields").alias("value"))
 
 
 def taxonomy(spark: SparkSession, path: str) -> DataFrame:
