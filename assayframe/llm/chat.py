@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.packing import slices
+from assayframe.llm.packing import SLICE_BYTES, slices
 
 #: Opening and closing marks by role; any other role is named in its opening mark.
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("[OUT] ", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
@@ -59,7 +60,8 @@ def scatter(parts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, list[np.ndar
 
 def _segments(roles: pa.Array, names: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buffer, rows' begins and ends, and begin and end of what the loss covers in each row (equal where nothing)."""
-    known, code = np.unique(np.array(roles.to_pylist(), object).astype(str), return_inverse=True)
+    told = roles.dictionary_encode()
+    known, code = told.dictionary.to_pylist(), told.indices.to_numpy()
     other = [OTHER[0].format(r) for r in names.to_pylist()] if set(known) - set(MARKS) else None
     opens = [MARKS[r][0] if r in MARKS else None for r in known]
     closes = [MARKS.get(r, OTHER)[1] for r in known]
@@ -69,6 +71,16 @@ def _segments(roles: pa.Array, names: pa.Array, texts: pa.Array) -> tuple[np.nda
     return out, at, begins[1], np.where(covered, begins[2], begins[1])
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose roles and texts together take about a slice's bytes, or of one row."""
+    sizes = sum(pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:])
+    ends, start = np.cumsum(sizes), 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_BYTES, "right")))
+        yield start, end
+        start = end
+
+
 def formatted(turns: DataFrame) -> DataFrame:
     """``conv_id, chunk, text, loss`` from rows of ``conv_id, turn, role, text``: a row for each conversation, or for each chunk of it.
 
@@ -80,7 +92,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, chunk = (), 0  # the conversation that the last row belonged to, and its next chunk
         for batch in batches:
-            for a, b in slices(batch.column(3).cast(pa.binary())):
+            for a, b in _runs(batch):
                 conv, roles, names, texts = (c.slice(a, b - a) for c in batch.columns)
                 out, at, loss_a, loss_b = _segments(roles, names, texts.cast(pa.utf8()))
                 ids = conv.to_pylist()

@@ -67,13 +67,14 @@ def one_of_each(df: DataFrame, *keys: str) -> DataFrame:
 HOT_SHARE = 512
 
 
-def meet(rows: DataFrame, decided: DataFrame, key: str, size: str) -> DataFrame:
+def meet(rows: DataFrame, decided: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
     """Inner join of rows with one decision per key, of whose ``size`` rows a hot key may have a third of all.
 
     Hot keys, HOT_SHARE at most by their definition, are broadcast, so that their rows stay where
-    they are; all others are joined by a shuffle in which no key has more than 1/HOT_SHARE of the rows.
+    they are; all others are joined by a shuffle in which no key has more than 1/HOT_SHARE of the rows. ``total``
+    is the sum of sizes, where it is known.
     """
-    total = decided.agg(F.sum(size)).first()[0] or 0
+    total = total if total is not None else decided.agg(F.sum(size)).first()[0] or 0
     hot = decided.filter(F.col(size) * HOT_SHARE >= F.lit(max(total, 2 * HOT_SHARE)))
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(decided, key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)

@@ -391,11 +391,14 @@ def exact_links(near: DataFrame, similarity: float, most: int, block: int = BLOC
     other; every other block meets each block in a cell. So a large group of near copies costs one pass.
     """
     weight = F.size("shingles") + TEXT_WEIGHT
-    large = near.groupBy("root").agg(F.sum(weight).alias("weight")).filter(F.col("weight") > block)
-    heads = near.filter("node = root").join(F.broadcast(large.select("root")), "root", "left_semi").select("root", F.col("shingles").alias("head"))
+    sizes = written(near.groupBy("root").agg(F.ceil(F.sum(weight) / F.lit(block)).alias("salts"), F.count("*").alias("n_near")), "root_sizes")
+    tagged = meet(near, sizes, "root", "n_near")
+    large = tagged.filter("salts > 1").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
+    heads = tagged.filter("salts > 1 and node = root").select("root", F.col("shingles").alias("head"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     both = F.size(F.array_intersect("shingles", "head"))
-    star = F.col("head").isNotNull() & (both >= similarity * (F.size("shingles") + F.size("head") - both) - 1e-9)
-    told = written(near.join(F.broadcast(heads), "root", "left").withColumn("star", F.coalesce(star, F.lit(False))).drop("head"), "starred")
+    star = both >= similarity * (F.size("shingles") + F.size("head") - both) - 1e-9
+    met = large.join(heads, ["root", "salt"], "left").withColumn("star", F.coalesce(star, F.lit(False))).drop("head", "salt")  # a head meets one block's weight of its root's texts at a time
+    told = written(tagged.filter("salts = 1").withColumn("star", F.lit(False)).unionByName(met).drop("salts", "n_near"), "starred")
     blocks = lambda own: F.ceil(F.coalesce(F.sum(F.when(own, weight)), F.lit(0)) / F.lit(block))
     counts = written(told.groupBy("root").agg(blocks(~F.col("star")).alias("others"), blocks(F.col("star")).alias("stars"), F.count("*").alias("n")), "block_counts")
     dealt = meet(told, counts, "root", "n").filter("others > 0")

@@ -96,12 +96,16 @@ def template_tree(urls: DataFrame, alike: float = 2.0, weight: float = 8.0, supp
     now = urls.groupBy("host", "leaf", segment_kinds(F.col("path")).alias("parts")).agg(bad.alias("bad"), (bad + good).alias("n"), F.count("*").alias("urls"))
     start = {"prefix": F.lit(""), "template": F.lit(None).cast("string"), "purity": F.lit(None).cast("double"), "labelled": F.lit(None).cast("long")}
     now = written(now.withColumns(start), "url_leaves")
-    for d in range(now.agg(F.max(F.size("parts"))).first()[0] or 0):
+    deepest, leaves = now.agg(F.max(F.size("parts")), F.count("*")).first()
+    for d in range(deepest or 0):
         level = now.withColumn("segment", F.when(F.size("parts") > d, F.get("parts", F.lit(d))))
         merged = written(_merged(level.filter("segment IS NOT NULL"), alike, weight, support), "url_nodes")
         if merged.filter(F.col("node_n") >= support).isEmpty():
             break
-        told = level.join(merged, ["host", "prefix", "segment"], "left")
+        at = F.struct("host", "prefix", "segment").alias("at")
+        nodes = merged.select(at, "node", "node_n", "node_purity", "leaves")
+        told = meet(level.filter("segment IS NOT NULL").select("*", at), nodes, "at", "leaves", leaves).drop("leaves", "at")  # a segment may have a third of all leaves
+        told = told.unionByName(level.filter("segment IS NULL"), allowMissingColumns=True)
         enough = F.coalesce(F.col("node_n") >= support, F.lit(False))
         better = {"template": "node", "purity": "node_purity", "labelled": "node_n"}
         kept = {"prefix": F.coalesce("node", "prefix")} | {k: F.when(enough, F.col(c)).otherwise(F.col(k)) for k, c in better.items()}
@@ -124,8 +128,8 @@ def decide(urls: DataFrame, alike: float = 2.0, weight: float = 8.0, support: in
 
 
 def _merged(level: DataFrame, alike: float, weight: float, support: int) -> DataFrame:
-    """``host, prefix, segment, node, node_n, node_purity``: the node that each branch of a level belongs to."""
-    branches = level.groupBy("host", "prefix", "segment").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    """``host, prefix, segment, leaves, node, node_n, node_purity``: the node that each branch of a level belongs to, and its leaves."""
+    branches = level.groupBy("host", "prefix", "segment").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.count("*").alias("leaves"))
     thin = F.col("n") < support
     sums = {"all_bad": F.col("bad"), "all_n": F.col("n"), "ways": F.lit(1), "pool_bad": F.when(thin, F.col("bad")), "pool_n": F.when(thin, F.col("n")), "pool_ways": F.when(thin, 1)}
     whole = branches.groupBy("host", "prefix").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in sums.items()])
@@ -136,10 +140,10 @@ def _merged(level: DataFrame, alike: float, weight: float, support: int) -> Data
     share, error = (bad + prior * weight) / (n + weight), F.sqrt(prior * (1 - prior) / (n + 1))
     same = (F.col("ways") > 1) & (n >= support) & (F.abs(share - prior) <= alike * error)
     name = F.when(same, "{*}").when(pooled, "{rare}").otherwise(F.col("segment"))
-    own = own.select("host", "prefix", "segment", "bad", "n", prior.alias("prior"), F.concat("prefix", F.lit("/"), name).alias("node"))
+    own = own.select("host", "prefix", "segment", "leaves", "bad", "n", prior.alias("prior"), F.concat("prefix", F.lit("/"), name).alias("node"))
     nodes = own.groupBy("host", "prefix", "node").agg(F.sum("n").alias("node_n"), F.sum("bad").alias("node_bad"))
     purity = (F.col("node_bad") + F.col("prior") * weight) / (F.col("node_n") + weight)
-    return own.join(nodes, ["host", "prefix", "node"]).select("host", "prefix", "segment", "node", "node_n", purity.alias("node_purity"))
+    return own.join(nodes, ["host", "prefix", "node"]).select("host", "prefix", "segment", "leaves", "node", "node_n", purity.alias("node_purity"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...], labels: DataFrame | None = None, alike: float = 2.0, weight: float = 8.0, support: int = 5, reject_at: float = 0.5) -> DataFrame:
