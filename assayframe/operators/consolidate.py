@@ -150,8 +150,8 @@ class Consolidation:
         total = self.structures.agg(F.coalesce(F.sum("Source_Row_Count"), F.lit(0))).first()[0]
         own = self.rows.filter("is_usable").select("smiles", "um", "cid", "aid")
         met = meet(own, self.labelled().select("smiles", "log_mean", "Source_Row_Count"), "smiles", "Source_Row_Count", total)
-        first = met.groupBy("smiles").agg(F.min(F.struct(_distance(F.col("log_mean")), id_key("cid").alias("cid"), id_key("aid").alias("aid"))).alias("first"), F.first("log_mean").alias("log_mean"), F.first("Source_Row_Count").alias("n"))
-        return first.select("smiles", F.col("first.cid.text").alias("cid"), F.col("first.aid.text").alias("aid"), "log_mean", "n")
+        first = met.groupBy("smiles").agg(F.min(F.struct(_distance(F.col("log_mean")), id_key("cid").alias("cid"), id_key("aid").alias("aid"))).alias("first"), F.first("log_mean").alias("log_mean"))
+        return first.select("smiles", F.col("first.cid.text").alias("cid"), F.col("first.aid.text").alias("aid"), "log_mean")
 
     def references(self) -> DataFrame:
         """Per labelled structure its first row in the whole order, with the wide fields that are carried along.
@@ -174,9 +174,8 @@ class Consolidation:
         )
         chosen = chosen.withColumn("place", F.xxhash64("smiles", "cid", "aid"))
         few = may_hold(wide, F.col("place"), chosen, F.col("place"))
-        own = chosen.select(F.col("smiles").alias("of"), F.col("cid").alias("of_cid"), F.col("aid").alias("of_aid"), "place", "log_mean", "n")
-        total = self.structures.agg(F.coalesce(F.sum("Source_Row_Count"), F.lit(0))).first()[0]
-        met = meet(few, own, "place", "n", total).filter("smiles = of and cid.text = of_cid and aid.text = of_aid")
+        own = chosen.select(F.col("smiles").alias("of"), F.col("cid").alias("of_cid"), F.col("aid").alias("of_aid"), "place", "log_mean")
+        met = few.join(own, "place").filter("smiles = of and cid.text = of_cid and aid.text = of_aid")
         order = F.struct(_distance(F.col("log_mean")), "cid", "aid", "row")
         return met.groupBy("smiles").agg(F.min_by(F.struct("um", "m", "p", "log_mean"), order).alias("b"))
 

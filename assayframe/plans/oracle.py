@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from assayframe.operators.assay import KEYWORDS, PUBCHEM_UNITS, STANDARD_RELATIONS, STANDARD_TYPES, STANDARD_UNITS, STANDARD_VALUES
-from assayframe.operators.consolidate import INVARIANTS
 from assayframe.plans.views import with_views
 
+#: Keywords of activity columns and names of standard columns, written out here so that a wrong list in the operators shows (fixed values).
+KEYWORDS = ("IC50", "EC50", "AC50", "GI50", "LC50", "Ki", "Kd", "Potency")
+STANDARD_VALUES = ("PubChem Standard Value", "Standard Value")
+STANDARD_TYPES = ("PubChem Standard Type", "Standard Type")
+PUBCHEM_UNITS = ("PubChem Standard Unit", "PubChem Standard Units")
+STANDARD_UNITS = ("Standard Unit", "Standard Units")
+STANDARD_RELATIONS = ("PubChem Standard Relation", "Standard Relation")
+
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -187,7 +193,14 @@ _SQL = {
         CASE WHEN has THEN Activity_Value_Raw END AS Reference_Activity_Value_Raw, CASE WHEN has THEN Unit END AS Reference_Unit, um AS Reference_Activity_Value_uM,
         CASE WHEN has THEN 'selected' ELSE 'no_eligible_activity' END AS Reference_Selection_Status, Source_CIDs, Source_AIDs, Source_Row_Count, aids AS Source_AID_Count, MW, round(exp(lm), 6) AS Geometric_Mean_Activity_uM FROM made""",
     "consolidate_metrics": f"WITH {SOURCE}, {BEST}, {MADE} {METRICS}",
-    "consolidate_invariants": f"WITH {SOURCE}, {BEST}, {MADE}, x AS ({METRICS}) SELECT " + ", ".join(f"{e} AS {k}" for k, e in INVARIANTS.items()) + " FROM x",
+    "consolidate_invariants": f"WITH {SOURCE}, {BEST}, {MADE}, x AS ({METRICS}) SELECT "
+    "active_structure_count + inactive_structure_count = created_row_count AS outcome_count, "
+    "active_source_observation_count + inactive_source_observation_count = represented_source_row_count AS outcome_evidence, "
+    "selected_reference_count + no_eligible_activity_count = created_row_count AS reference_count, "
+    "represented_source_row_count = created_row_count + consolidated_duplicate_count AS represented_rows, "
+    "valid_source_row_count + unusable_row_count = source_row_count AS source_rows, "
+    "created_row_count + conflicting_structure_count + non_binary_structure_count = unique_structure_count AS structures, "
+    "created_row_count >= 0 AND consolidated_duplicate_count >= 0 AND unusable_row_count >= 0 AS not_negative FROM x",
     "excluded_conflicts": f"WITH {SOURCE} " + EXCLUDED.format("a AND i", "active_inactive_conflict"),
     "excluded_non_binary": f"WITH {SOURCE} " + EXCLUDED.format("NOT (a AND i) AND x", "non_binary_or_missing_outcome"),
     "excluded_unusable": "SELECT CID, AID, Outcome, SMILES_Harmonized, SMILES_Harmonization_Status, 'harmonization_status:' || SMILES_Harmonization_Status AS reason FROM {activity} WHERE Activity_Type = 'IC50' AND SMILES_Harmonization_Status = 'failed'",
