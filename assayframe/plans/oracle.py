@@ -166,6 +166,8 @@ _SQL = {
             CASE WHEN cid::BIGINT % 2 = 1 THEN (cid::BIGINT * 2)::VARCHAR END AS Double FROM k""",
     "insert_ignore_links": "SELECT * FROM {links}",
     "snapshot_upsert": UPSERT,
+    "refusals": """SELECT links, "case", refused FROM (SELECT count(*) AS links FROM {links}), (VALUES ('unchanged source', false), ('changed source', true), ('another method', true),
+        ('stored features', false), ('damaged features', true), ('unknown features', true), ('existing table', true)) c("case", refused)""",
     "insert_ignore_activity": f"""WITH r AS (SELECT CID, AID, Protein, Activity_Type, Relation, Activity_Value_Raw, nullif(Unit, 'MILLIMOLAR') AS Unit, Outcome, Source_Column, Result_Tag FROM {{activity}}),
         w AS (SELECT DISTINCT {KEY} FROM r WHERE Unit IS NOT NULL), k AS (SELECT DISTINCT {KEY} FROM r WHERE Result_Tag IN ('1', '2', '7')),
         o AS (SELECT * FROM w EXCEPT SELECT * FROM k UNION ALL SELECT * FROM r WHERE Unit IS NULL)

@@ -628,9 +628,44 @@ def json_lists(spark, sf_dir):
 
 @query
 def stored_features(spark, sf_dir):
-    """Computed once and stored, then restored by source and identity."""
+    """Computed once and stored, restored by source and identity, and computed anew where what is stored is damaged."""
     own = view(spark, sf_dir, "links")
     columns, path = list(links.LINK), shared_path(spark, "features")
     _, manifest = identity.restore_or_compute(None, "links", "v1", lambda: own, path, columns)
     again, _ = identity.restore_or_compute(manifest, "links", "v1", lambda: own.limit(0), shared_path(spark, "features"), columns)
-    return again
+    damaged = manifest.withColumn("path", F.lit(shared_path(spark, "features")))
+    again.limit(1).write.parquet(damaged.first()["path"])  # not what was stored: computed anew
+    return identity.restore_or_compute(damaged, "links", "v1", lambda: again, shared_path(spark, "features"), columns)[0]
+
+
+@query
+def refusals(spark, sf_dir):
+    """What must be refused, beside what must not: a changed source, damaged features, an existing table."""
+    own, columns = view(spark, sf_dir, "links"), list(links.LINK)
+    requested = identity.data_identity(own, columns, "v1").first()["identity"]
+    path, table = shared_path(spark, "features"), f"derived_{uuid.uuid4().hex}"
+    _, manifest = identity.restore_or_compute(None, "links", "v1", lambda: own, path, columns)
+    damaged = manifest.withColumn("path", F.lit(shared_path(spark, "features")))
+    own.filter("Protein <> 'P1'").write.parquet(damaged.first()["path"])
+    own.limit(0).write.saveAsTable(table)
+    cases = {
+        "unchanged source": lambda: identity.check_unchanged(own, columns, requested, "v1"),
+        "changed source": lambda: identity.check_unchanged(own.filter("Protein <> 'P1'"), columns, requested, "v1"),
+        "another method": lambda: identity.check_unchanged(own, columns, requested, "v2"),
+        "stored features": lambda: identity.read_stored(manifest, "links", "v1", columns),
+        "damaged features": lambda: identity.read_stored(damaged, "links", "v1", columns),
+        "unknown features": lambda: identity.read_stored(manifest, "links", "v2", columns),
+        "existing table": lambda: writers.derive_table(own, table),
+    }
+
+    def refused(f) -> bool:
+        try:
+            f()
+        except (ValueError, LookupError):
+            return True
+        return False
+
+    told = [(name, refused(f)) for name, f in cases.items()]
+    spark.sql(f"DROP TABLE {table}")
+    n = own.count()
+    return spark.createDataFrame([(n, *t) for t in told], "links long, case string, refused boolean")
