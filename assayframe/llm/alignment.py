@@ -31,6 +31,8 @@ from assayframe.llm.packing import _byte_letters, slices as text_slices
 
 #: Bytes of text merged at once, documents' bytes in a slice, bytes of a run of words, words remembered: bounds on memory only.
 BATCH_BYTES, SLICE_BYTES, LANE_BYTES, CACHED_WORDS = 1_000_000, 16_000_000, 1024, 300_000
+#: Tokens after which a lane of one long word goes on as another, and how many next ones are tried for a common end.
+LANE_TOKENS, LOOK_AHEAD = 512, 32
 #: How byte-level vocabularies split text (fixed pattern of the public tokenizer).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space that ends a word; where a text has other white space next to it, neither tokenizer need split there.
@@ -143,6 +145,23 @@ def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, a_from: np.ndarray, a_to: n
     return found, partner[found]
 
 
+def _split(a_ends: np.ndarray, b_ends: np.ndarray, a_from: np.ndarray, b_from: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes' begins and ends in A and begins in B; a long lane, of one long word, goes on as another where tokens near every LANE_TOKENS-th end together."""
+    sizes = np.diff(np.append(a_from, len(a_ends)))
+    long = np.flatnonzero(sizes > 2 * LANE_TOKENS)
+    if len(long):
+        probes = np.concatenate([np.arange(a_from[k] + LANE_TOKENS, a_from[k] + sizes[k] - LANE_TOKENS, LANE_TOKENS) for k in long])
+        near = probes[:, None] + np.arange(LOOK_AHEAD)
+        place = np.searchsorted(b_ends, a_ends[near])
+        same = b_ends[place] == a_ends[near]
+        hit = np.flatnonzero(same.any(1))
+        at = same[hit].argmax(1)
+        a_from, b_from = np.append(a_from, near[hit, at] + 1), np.append(b_from, place[hit, at] + 1)
+        order = np.argsort(a_from, kind="stable")
+        a_from, b_from = a_from[order], b_from[order]
+    return a_from, np.append(a_from[1:], len(a_ends)) if len(a_from) else a_from, b_from
+
+
 def _spelt(n: int) -> np.ndarray:
     """Each id in decimal with each sign that may follow it."""
     out = np.empty(4 * n, object)
@@ -173,7 +192,7 @@ class Merger:
         b_words = np.concatenate([[0], np.cumsum(np.fromiter(map(len, b_flat), np.int64, len(flat)) // 4)])
         doc_words = np.concatenate([[0], np.cumsum([len(p) for p in told])]).astype(np.int64)
         first = self._lanes(a_ends, a_words, doc_words)
-        found, partner = lockstep(a_ends, b_ends, a_words[first], a_words[np.append(first[1:], len(flat))] if len(first) else first, b_words[first])
+        found, partner = lockstep(a_ends, b_ends, *_split(a_ends, b_ends, a_words[first], b_words[first]))
         a_cut, b_cut = np.zeros(len(a), bool), np.zeros(len(b), bool)
         a_cut[found], b_cut[partner] = True, True
         a_docs, b_docs = a_words[doc_words], b_words[doc_words]
@@ -285,7 +304,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, slice_bytes: int = SLICE_BY
     Tokens are those of space and text. Null and empty texts, and texts that the tokens of A or B don't spell, have
     none: zeros and an empty digest. Every group ends with the one link of its last tokens, so there are as many links as groups.
     Null ids stay null, repeated rows are documents of their own, other columns are not read, an empty table gives an empty table.
-    A text that has no single space between other signs is one word, held whole.
+    A text that has no single space between other signs is one word: it is encoded whole, and merged in lanes where tokens end together.
     """
     spark = docs.sparkSession
     slices = merged(docs, a_path, b_path, slice_bytes)

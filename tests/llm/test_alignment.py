@@ -68,6 +68,8 @@ def test_alignment_against_a_merge_by_hand(spark, by_hand, slice_bytes):
 def test_batches_lanes_and_caches_change_nothing(by_hand, monkeypatch):
     whole = alignment.Merger(A, B).merge([t or "" for t in TEXTS])
     monkeypatch.setattr(alignment, "LANE_BYTES", 8)
+    monkeypatch.setattr(alignment, "LANE_TOKENS", 5)
+    monkeypatch.setattr(alignment, "LOOK_AHEAD", 3)
     monkeypatch.setattr(alignment, "CACHED_WORDS", 20)
     merger, at = alignment.Merger(A, B), 0
     for k, t in enumerate(TEXTS):
@@ -96,6 +98,23 @@ def test_lockstep_of_many_lanes():
         assert [a_all[i] for i in found] == want == [b_all[j] for j in partner]
 
 
+def test_a_long_word_is_merged_in_lanes():
+    text = "".join(r.choice(["漢字", "ñandú", "x1", "token", "-", "🙂"]) for _ in range(60_000))
+    merger = alignment.Merger(A, B)
+    whole = merger.merge([text, "a b"])
+    a, b, links = alignment.links_of(text, A, B)
+    assert (whole[0][0], whole[1][0], whole[2][0]) == (len(a), len(b), len(links)) and len(a) > 100_000
+    assert [(int(p) & 0xFFFFFFFF, int(p) >> 32) for p in whole[4][: whole[2][0]]] == [(a[i], b[j]) for i, j in links]
+    steps = []
+    true = alignment.lockstep
+    alignment.lockstep = lambda *x: steps.append(np.diff(np.append(x[2], len(x[0]))).max()) or true(*x)
+    try:
+        merger.merge([text])
+    finally:
+        alignment.lockstep = true
+    assert max(steps) < 3 * alignment.LANE_TOKENS
+
+
 def test_links_of_one_text():
     a, b, links = alignment.links_of("unbelievable tokens", A, B)
     assert links[-1] == (len(a) - 1, len(b) - 1) and links == sorted(links)
