@@ -180,9 +180,11 @@ def _through_cells(least: float):
     return run
 
 
-def _best(cells: DataFrame, least: float = 0.0) -> DataFrame:
+def _best(cells: DataFrame, least: float = 0.0, n_cells: int | None = None) -> DataFrame:
     """``id, nb_id, nb_outcome, key`` over all cells; of equal keys the least id. A key of 2 stands for NaN."""
-    own = cells.select("cell", "side", "id", "outcome", "words").repartition("cell").sortWithinPartitions("cell", "id")
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts if n_cells is None else max(1, min(parts, n_cells))  # a fixed number: cells are small in bytes and long in work
+    own = cells.select("cell", "side", "id", "outcome", "words").repartition(parts, "cell").sortWithinPartitions("cell", "id")
     found = own.mapInArrow(_through_cells(least), BEST)
     return found.groupBy("id").agg(F.min(F.struct((-F.col("key")).alias("key"), "nb_id", "nb_outcome")).alias("b")).select("id", "b.nb_id", "b.nb_outcome", (-F.col("b.key")).alias("key"))
 
@@ -195,10 +197,10 @@ def _blocks(own: DataFrame, asked: DataFrame | None, n: int, block_rows: int) ->
     low, high = F.least("block", "other"), F.greatest("block", "other")
     if asked is None:
         side = F.when(F.col("block") == F.col("other"), MEMBER).when(F.col("block") < F.col("other"), LEFT).otherwise(RIGHT)
-        return _best(own.select((low * blocks + high).alias("cell"), side.alias("side"), "id", "outcome", "words"))
+        return _best(own.select((low * blocks + high).alias("cell"), side.alias("side"), "id", "outcome", "words"), n_cells=blocks * (blocks + 1) // 2)
     held = own.select((F.col("other") * blocks + F.col("block")).alias("cell"), F.lit(HELD).alias("side"), "id", "outcome", "words")
     asking = asked.select("id", "outcome", "words", block.alias("block"), other.alias("other")).select((F.col("block") * blocks + F.col("other")).alias("cell"), F.lit(ASKS).alias("side"), "id", "outcome", "words")
-    return _best(held.unionByName(asking))
+    return _best(held.unionByName(asking), n_cells=blocks * blocks)
 
 
 def _size_class(tenths: int, n_bits: int) -> Column:
