@@ -49,17 +49,16 @@ def _got(df):
     return {r.id: (r.neighbour_id, r.neighbour_outcome, 2.0 if r.similarity != r.similarity else r.similarity) for r in df.collect()}
 
 
-@pytest.mark.parametrize("worth", [0.25, 10**9, 0.0])
-def test_thresholds_equal_brute_force(spark, monkeypatch, worth):
+@pytest.mark.parametrize("worth, block", [(0.25, 20_000), (10**9, 90), (0.0, 90)])
+def test_thresholds_equal_brute_force(spark, monkeypatch, worth, block):
     monkeypatch.setattr(neighbours, "WORTH", worth)  # read where plans are made
     rows = _sparse(np.random.default_rng(1), 700)
     df = spark.createDataFrame([*rows, ("null", "Active", None)], "id string, outcome string, bits array<int>").repartition(5)
     want = _brute([*rows, ("null", "Active", [])])
-    for block in (20_000, 90) if worth else (90,):
-        report = []
-        assert _got(neighbours.nearest(df, BITS, block, pruned_rows=0, report=report)) == want
-        assert any(r[0] is None for r in report) == (worth < 1e9) and (worth or len(report) == 1)
-    if worth != 0.25:
+    report = []
+    assert _got(neighbours.nearest(df, BITS, block, pruned_rows=0, report=report)) == want
+    assert any(r[0] is None for r in report) == (worth < 1e9) and (worth or len(report) == 1)
+    if worth:
         return
     assert _got(neighbours.nearest(df, BITS, 300)) == want
     asked = df.filter("id like '%7'")
