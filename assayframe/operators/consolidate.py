@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.functions.names import fresh
 from assayframe.functions.text import clean, id_key, micromolar, sorted_ids
 from assayframe.operators.activity import one_row
 from assayframe.operators.skew import may_hold, meet
@@ -162,8 +163,11 @@ class Consolidation:
         value = F.col("Activity_Value").try_cast("double")
         eligible = (clean("Activity_Type") == self.kind) & clean("Relation").isin(*EXACT)
         chosen = written(self.nearest(), "nearest")
-        wide = usable(self.df).select(
-            F.xxhash64(_smiles(), clean("CID"), clean("AID")).alias("place"),
+        place = fresh("place", self.df)
+        rows = usable(self.df).withColumn(place, F.xxhash64(_smiles(), clean("CID"), clean("AID")))
+        chosen = chosen.withColumn("place", F.xxhash64("smiles", "cid", "aid"))
+        few = may_hold(rows, F.col(place), chosen, F.col("place")).select(
+            F.col(place).alias("place"),
             _smiles().alias("smiles"),
             F.when(eligible, micromolar(value, "Unit")).alias("um"),
             id_key("CID").alias("cid"),
@@ -172,8 +176,6 @@ class Consolidation:
             F.struct(*[clean(c).alias(c) for c in ("CID", "AID", "Activity_Type", "Relation", "Unit")], value.alias("Activity_Value"), "Activity_Value_Raw").alias("m"),
             F.struct(*carried).alias("p"),
         )
-        chosen = chosen.withColumn("place", F.xxhash64("smiles", "cid", "aid"))
-        few = may_hold(wide, F.col("place"), chosen, F.col("place"))
         own = chosen.select(F.col("smiles").alias("of"), F.col("cid").alias("of_cid"), F.col("aid").alias("of_aid"), "place", "log_mean")
         met = few.join(own, "place").filter("smiles = of and cid.text = of_cid and aid.text = of_aid")
         order = F.struct(_distance(F.col("log_mean")), "cid", "aid", "row")
