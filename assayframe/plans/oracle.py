@@ -43,8 +43,8 @@ MADE = "made AS (SELECT t.*, b.*  EXCLUDE (smiles), CASE WHEN t.a THEN 'Active'
 METRICS = """SELECT (SELECT count(*) FROM src) AS source_row_count, (SELECT count(*) FROM usable) AS valid_source_row_count, (SELECT count(*) FROM src) - (SELECT count(*) FROM usable) AS unusable_row_count,
     (SELECT count(*) FROM trace) AS unique_structure_count, (SELECT count(*) FROM trace WHERE a AND i) AS conflicting_structure_count, (SELECT count(*) FROM trace WHERE NOT (a AND i) AND x) AS non_binary_structure_count,
     count(*) AS created_row_count, count(*) FILTER (label = 'Active') AS active_structure_count, count(*) FILTER (label = 'Inactive') AS inactive_structure_count,
-    (sum(Source_Row_Count) FILTER (label = 'Active'))::BIGINT AS active_source_observation_count, (sum(Source_Row_Count) FILTER (label = 'Inactive'))::BIGINT AS inactive_source_observation_count,
-    (sum(Source_Row_Count) - count(*))::BIGINT AS consolidated_duplicate_count, sum(Source_Row_Count)::BIGINT AS represented_source_row_count,
+    coalesce((sum(Source_Row_Count) FILTER (label = 'Active')), 0)::BIGINT AS active_source_observation_count, coalesce((sum(Source_Row_Count) FILTER (label = 'Inactive')), 0)::BIGINT AS inactive_source_observation_count,
+    coalesce((sum(Source_Row_Count) - count(*)), 0)::BIGINT AS consolidated_duplicate_count, coalesce(sum(Source_Row_Count), 0)::BIGINT AS represented_source_row_count,
     count(*) FILTER (has) AS selected_reference_count, count(*) FILTER (NOT has) AS no_eligible_activity_count,
     (SELECT count(DISTINCT u.AID) FROM usable u JOIN made k ON u.smiles = k.smiles WHERE k.label = 'Active') AS active_distinct_aid_count,
     (SELECT count(DISTINCT u.AID) FROM usable u JOIN made k ON u.smiles = k.smiles WHERE k.label = 'Inactive') AS inactive_distinct_aid_count FROM made"""
