@@ -1,8 +1,8 @@
 """Identities of data, and results kept and found by them.
 
-A table's digest is made of the sums of its rows' digests, part by part, so it is the same for the same rows and method
-whatever the partitioning; a task sends one row, and nothing is gathered or sorted. It guards against stale and damaged data, not against someone
-who makes up rows until the sums agree.
+A row's digest with its number of copies, then one over the sorted digests of each bucket, then one over
+the buckets and the method: equal exactly for the same rows and method, whatever
+the partitioning. Copies are counted before anything is gathered, so a bucket holds each different row once; rows are shuffled once, as digests of 32 bytes.
 """
 
 from __future__ import annotations
@@ -10,10 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.functions.names import fresh
-
-#: A digest is added up in so many parts of 16 bits: their sums are exact for up to 10^14 rows.
-LANES = 16
+#: Leading hexadecimal digits of a digest that name its bucket: 4,096 buckets.
+BUCKET_DIGITS = 3
 
 
 def row_digest(columns: list[str]):
@@ -22,11 +20,13 @@ def row_digest(columns: list[str]):
 
 def data_identity(df: DataFrame, columns: list[str], method: str = "") -> DataFrame:
     """One row ``identity, rows``."""
-    digest = fresh("digest", df)
-    lane = lambda k: F.coalesce(F.sum(F.conv(F.substring(digest, 4 * k + 1, 4), 16, 10).cast("bigint")), F.lit(0)).cast("string")
-    sums = df.select(row_digest(columns).alias(digest)).agg(F.count("*").alias("rows"), *[lane(k).alias(f"lane{k}") for k in range(LANES)])
-    whole = F.concat_ws(",", F.col("rows").cast("string"), *[f"lane{k}" for k in range(LANES)])
-    return sums.select(F.sha2(F.concat(F.lit(f"{method}\n"), whole), 256).alias("identity"), "rows")
+    bucket = F.substring(F.hex("d"), 1, BUCKET_DIGITS)
+    rows = df.select(F.unhex(row_digest(columns)).alias("d")).withColumn("b", bucket).repartition("b")  # for both groupings
+    copies = rows.groupBy("b", "d").agg(F.count("*").alias("n"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("d", "n"))), lambda x: F.concat(F.lower(F.hex(x["d"])), F.lit(":"), x["n"].cast("string")))
+    buckets = copies.groupBy("b").agg(F.sha2(F.array_join(told, ","), 256).alias("h"), F.sum("n").alias("n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ",")
+    return buckets.agg(F.sha2(F.concat(F.lit(f"{method}\n"), whole), 256).alias("identity"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
 def reusable(requests: DataFrame, results: DataFrame, contract: str) -> DataFrame:
