@@ -34,7 +34,8 @@ def _met(target: DataFrame, key: str, updates: DataFrame, update_key: str, how:
     """
     names = {c: fresh(f"updated_{k}", target, updates) for k, c in enumerate(updates.columns)}
     hit, salt, other = (fresh(n, target, updates) for n in ("hit", "salt", "update_salt"))
-    own = updates.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.lit(True).alias(hit), F.lit(0).cast("long").alias(other))
+    zero = F.pmod(F.xxhash64(F.col(f"`{update_key}`")), F.lit(1)).alias(other)  # no literal: of one the optimizer makes a filter, and the join would be on the key alone
+    own = updates.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.lit(True).alias(hit), zero)
     spread = target.withColumn(salt, F.when(F.col(f"`{key}`").isNotNull(), F.lit(0).cast("long")).otherwise(1 + F.monotonically_increasing_id() % NULL_SALTS))
     joined = spread.join(own, (spread[f"`{key}`"] == own[names[update_key]]) & (spread[salt] == own[other]), how)
     return joined, {c: F.col(f"`{n}`") for c, n in names.items()}, F.col(f"`{names[update_key]}`"), F.col(f"`{hit}`")
