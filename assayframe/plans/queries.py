@@ -475,10 +475,11 @@ def incremental_ingest(spark, sf_dir):
     rows = _keyed(spark, sf_dir)
     files, checkpoint = shared_path(spark, "activity-files"), shared_path(spark, "activity-stream")
     ledger = ingest.activity_ledger(spark, shared_path(spark, "activity-table"))
-    rows.repartition(4, "Result_Tag").write.parquet(files)
+    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(parts, *ingest.KEY).write.parquet(files)
     known = rows.filter("Result_Tag in ('1', '2', '3', '7')")
     ingest.ingest(known, ledger, "known")
-    ingest.stream(ingest.activity_stream(spark, files, rows.schema, 2), ledger, checkpoint).awaitTermination()
+    ingest.stream(ingest.activity_stream(spark, files, rows.schema, -(-parts // 2)), ledger, checkpoint).awaitTermination()
     ingest.ingest(known, ledger, "known")
     return ledger.rows().groupBy("Activity_Type", "Outcome", "Unit").agg(F.count("*").alias("n"))
 
