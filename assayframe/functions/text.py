@@ -10,6 +10,9 @@ UNIT_TO_UM = {"NANOMOLAR": 0.001, "MICROMOLAR": 1.0}
 #: Labels of the two binary outcomes (fixed values).
 BINARY_OUTCOMES = {"active": "Active", "inactive": "Inactive"}
 
+#: The signs that Unicode counts as white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _NOT_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
 
@@ -20,7 +23,7 @@ def _col(c: Column | str) -> Column:
 
 def clean(c: Column | str) -> Column:
     """Text without white space at either end; null becomes empty."""
-    return F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(_col(c).cast("string"), F.lit("")), F.lit(WHITE_SPACE))
 
 
 def not_blank(c: Column | str) -> Column:
@@ -48,7 +51,7 @@ def number(c: Column | str) -> Column:
 
 
 def is_finite(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    return F.coalesce(F.abs(c) < float("inf"), F.lit(False))  # NaN is above all numbers
 
 
 def micromolar(value: Column, unit: Column | str) -> Column:
