@@ -16,7 +16,7 @@ from assayframe.sources.readers import required
 from assayframe.sources.snapshots import Snapshot
 from assayframe.streaming import ingest
 from assayframe.streaming.ledger import Ledger
-from assayframe.streaming.shared import shared_path
+from assayframe.streaming.shared import shared_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -642,7 +642,7 @@ def stored_features(spark, sf_dir):
 @query
 def refusals(spark, sf_dir):
     """What must be refused, beside what must not: a changed source, damaged features, an existing table."""
-    own, columns = view(spark, sf_dir, "links"), list(links.LINK)
+    own, columns = written(view(spark, sf_dir, "links"), "links"), list(links.LINK)  # looked at many times, made once
     requested = identity.data_identity(own, columns, "v1").first()["identity"]
     path, table = shared_path(spark, "features"), f"derived_{uuid.uuid4().hex}"
     _, manifest = identity.restore_or_compute(None, "links", "v1", lambda: own, path, columns)
