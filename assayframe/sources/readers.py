@@ -103,7 +103,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     records of several lines meet, a record at a time. Quotes are those of RFC 4180: a field with one in it is quoted.
     """
     text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    lines = text.mapInArrow(_lines, _LINES)
+    lines = written(text.mapInArrow(_lines, _LINES), "csv-lines")  # files, of which there may be very many, are opened once
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     sizes = lines.select("file", "block", "even_record", "odd_record", quotes.alias("q")).groupBy("file", "block").agg(F.max("even_record").alias("even"), F.max("odd_record").alias("odd_begun"), F.sum("q").alias("q"))
     by = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,7 +132,7 @@ def assay_cells(spark: SparkSession, path: str, aid: str = r"(\d+)\D*$") -> Data
 
     A file of any size is read by many tasks (``records``); only the splitting of a record into its fields is Python. Fields beyond the header are dropped.
     """
-    own = records(spark, path).mapInArrow(_fields, "file string, record_no long, fields array<string>")
+    own = written(records(spark, path).mapInArrow(_fields, "file string, record_no long, fields array<string>"), "csv-fields")  # for headers and cells
     header = own.filter("record_no = 0").select("file", F.col("fields").alias("header"))
     cells = own.filter("record_no > 0").join(header, "file")
     told = cells.select(F.regexp_extract("file", aid, 1).alias("AID"), (F.col("record_no") - 1).alias("row_no"), F.posexplode(F.arrays_zip("header", "fields")).alias("pos", "c"), F.size("fields").alias("n"), F.size("header").alias("h"))
