@@ -13,8 +13,14 @@ LINK = ["CID", "AID", "Protein"]
 
 
 def expand(protein_aids: DataFrame, aid_cids: DataFrame) -> DataFrame:
-    """Distinct ``CID, AID, Protein`` from ``(Protein, AID)`` and ``(AID, CID)``."""
-    return protein_aids.join(aid_cids, "AID").select(*LINK).distinct()
+    """Distinct ``CID, AID, Protein`` from ``(Protein, AID)`` and ``(AID, CID)``.
+
+    Pairs that are distinct on both sides meet in distinct links, so links themselves aren't gathered. Texts of ids take far more memory than in a
+    shuffle, by whose bytes Spark joins partitions; so their number is given.
+    """
+    parts = int(aid_cids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = aid_cids.select("AID", "CID").repartition(parts, "AID", "CID").distinct()
+    return protein_aids.select("Protein", "AID").distinct().join(pairs, "AID").select(*LINK)
 
 
 def joined_set(column: str):
