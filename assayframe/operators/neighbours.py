@@ -15,6 +15,7 @@ returns one best neighbour per row and cell, so no pair of rows is ever a row of
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from assayframe.streaming.shared import written
 
-BLOCK_ROWS, LEAST_BLOCK, STEP = 20_000, 250, 256
+BLOCK_ROWS, LEAST_BLOCK, STEP, WIDTH = 20_000, 250, 256, 2_048
 #: Rows from which on thresholds are tried, the thresholds in tenths (0: any shared bit), and the share of all pairs that lists may compare.
 PRUNED_ROWS, TENTHS, WORTH = 20_000, (8, 6, 4, 2, 0), 0.25
 #: Pairs of rows compared at once, and rows of cells gone through together: bounds on memory only.
@@ -103,19 +104,19 @@ class _Cells:
         self.best[rows[better]], self.key[rows[better]] = best[better], key[better]
 
     def _matrix(self, s: int, e: int) -> None:
-        """A long cell: strips of one side against the whole other; of equal ones the first, that is the least id."""
+        """A long cell: tiles of one side and the other, in the order of ids; of equal ones the first, that is the least id."""
         at = np.arange(s, e)
         side = self.side[s:e]
         for asks, held, mutual in ((ASKS, HELD, False), (MEMBER, MEMBER, False), (LEFT, RIGHT, True)):
-            a, b = at[side == asks], at[side == held]
-            for i in range(0, len(a) if len(b) else 0, STEP):
-                own = a[i : i + STEP]
+            a, others = at[side == asks], at[side == held]
+            for i, j in itertools.product(range(0, len(a), STEP), range(0, len(others), WIDTH)):
+                own, b = a[i : i + STEP], others[j : j + WIDTH]
                 both = np.zeros((len(own), len(b)), np.int64)
                 for w in range(self.words.shape[1]):
                     both += np.bitwise_count(self.words[own, w, None] & self.words[None, b, w])
                 key = self._keys(both, self.n_on[own, None] + self.n_on[None, b] - both, self.code[own, None] == self.code[None, b])
                 most = key.argmax(1)
-                self._offer(own, b[most], key[np.arange(len(own)), most])
+                self._offer(own, b[most], key[np.arange(len(own)), most])  # of equal ones an earlier tile's stays
                 if mutual:
                     most = key.argmax(0)
                     self._offer(b, own[most], key[most, np.arange(len(b))])
