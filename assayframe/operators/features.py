@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,15 +66,69 @@ def with_order_index(df: DataFrame, key: str, range_rows: int = RANGE_ROWS, name
     return number_partitions(own, part, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)), name, base, 0, df.columns)
 
 
+#: Letters of texts that are gone through at a time, about: some 50 MB of numbers.
+SLICE_LETTERS = 1 << 20
+#: Binary digits of a letter's code point.
+LETTER_BITS = 21
+
+
+def _marks(texts: list[str], n: int, n_bits: int) -> np.ndarray:
+    """``row * n_bits + bit`` of the texts' n-grams, each once and in order. A digest is made of each different gram, not in each place."""
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    many = max(letters.size - n + 1, 0)
+    within = np.flatnonzero(rows[:many] == rows[n - 1 :])  # no gram reaches into the next text
+    if not within.size:
+        return within
+    grams, held = letters[within], LETTER_BITS
+    for k in range(1, n):
+        if held + LETTER_BITS > 63:
+            grams, held = pd.factorize(grams)[0], 31
+        grams, held = grams << LETTER_BITS | letters[within + k], held + LETTER_BITS
+    which = pd.factorize(grams)[0]
+    place = np.empty(which.max() + 1, np.int64)
+    place[which] = within
+    told = letters[place[:, None] + np.arange(n)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    digests = (hashlib.md5(told[k : k + n].encode("utf-8", "surrogateescape"), usedforsecurity=False).digest() for k in range(0, len(told), n))
+    bit = np.array([int.from_bytes(d[:4], "big") % n_bits for d in digests], np.int64)
+    return _once(rows[within] * n_bits + bit[which])
+
+
+def _once(marks: np.ndarray) -> np.ndarray:
+    marks = np.sort(marks)
+    return marks[np.diff(marks, prepend=-1) != 0]
+
+
+def _ngram_bits(n: int, n_bits: int):
+    def run(texts: pa.Array) -> pa.Array:
+        out, group, size = [], [], 0
+
+        def told() -> None:
+            rows, bits = np.divmod(_marks(group, n, n_bits), n_bits)
+            ends = np.searchsorted(rows, np.arange(len(group) + 1)).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(ends, bits.astype(np.int32)))
+
+        for t in texts:
+            t = (t.as_py() or b"").decode("utf-8", "surrogateescape")
+            if group and size + len(t) > SLICE_LETTERS:
+                told()
+                group, size = [], 0
+            if len(t) > SLICE_LETTERS:  # by itself, in pieces that share n - 1 letters
+                pieces = [_marks([t[k : k + SLICE_LETTERS + n - 1]], n, n_bits) for k in range(0, len(t), SLICE_LETTERS)]
+                out.append(pa.array([_once(np.concatenate(pieces)).astype(np.int32)], pa.list_(pa.int32())))
+            else:
+                group.append(t)
+                size += len(t)
+        if group:
+            told()
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+
+    return run
+
+
 def hashed_ngrams(df: DataFrame, text: str, n: int = 3, n_bits: int = 256) -> DataFrame:
     """``bits``: the hashed character n-grams of a text, a stand-in where no fingerprints are given. It knows no chemistry."""
-    letters = F.split(F.coalesce(F.col(text), F.lit("")), "")
-    many = F.greatest(F.size(letters) - n + 1, F.lit(0))
-    grams = F.slice(letters, 1, many)
-    for k in range(1, n):  # zipped, not cut out one by one: a place in a text is found by going through all before it
-        grams = F.zip_with(grams, F.slice(letters, k + 1, many), lambda a, b: F.concat(a, b))
-    bit = lambda g: F.pmod(F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(n_bits)).cast("int")
-    return df.withColumn("bits", F.array_sort(F.array_distinct(F.transform(F.array_distinct(grams), bit))))
+    return df.withColumn("bits", F.arrow_udf(_ngram_bits(n, n_bits), "array<int>")(F.col(text).cast("binary")))
 
 
 def export(fingerprints: DataFrame, identity: str | None = None, method: str = "") -> tuple[DataFrame, DataFrame]:
