@@ -581,10 +581,9 @@ def assay_files(spark, sf_dir):
     lines = last.groupBy("AID", "row_no").agg(values.alias("values"))
     header = last.groupBy("AID").agg(F.array_sort(F.collect_set("column")).alias("header"))
     quoted = lambda v: F.concat(F.lit('"'), F.replace(F.coalesce(v, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    told = lines.join(header, "AID").withColumn("line", F.array_join(F.transform("header", lambda c: quoted(F.col("values")[c])), ","))
-    files = told.groupBy("AID").agg(F.first("header").alias("header"), F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("l"))
-    files.select("AID", F.concat_ws("\n", F.array_join(F.transform("header", quoted), ","), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("body")).write.partitionBy("AID").text(path)
-    return readers.assay_cells(spark, path, r"AID=(\d+)").withColumn("value", F.replace("value", F.lit(',\n"none"'), F.lit("")))
+    line = F.array_join(F.transform("header", lambda c: quoted(F.col("values")[c])), ",")
+    files = writers.write_files(lines.join(header, "AID"), path, F.format_string("AID=%s.csv", "AID"), F.array_join(F.transform("header", quoted), ","), line, F.col("row_no"))
+    return readers.assay_cells(spark, files, r"AID=(\d+)").withColumn("value", F.replace("value", F.lit(',\n"none"'), F.lit("")))
 
 
 @query

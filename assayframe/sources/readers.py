@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import csv
+import functools
 import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,64 @@ def titles(documents: DataFrame) -> DataFrame:
     return rows.groupBy("CID").agg(F.max_by("Title", "seq").alias("Title"))
 
 
+#: Listed files are read by blocks of so many bytes, in pieces of so many; to open one counts as so many.
+BLOCK, PIECE, OPEN = 128_000_000, 1 << 20, 1 << 16
+BOM = b"\xef\xbb\xbf"
+_filesystem = functools.lru_cache(16)(pafs.FileSystem.from_uri)
+
+
+def _pieces(stream, block: int, n: int) -> Iterator[bytes]:
+    """The lines that begin in a block, in pieces of whole lines, each without its last line feed; a line may go on in later blocks."""
+    end, at, begun, rest = block + n, max(block - 1, 0), block == 0, []
+    stream.seek(at)
+    while chunk := stream.read(min(PIECE, max(end - at, 1 << 16))):
+        skipped = len(BOM) if block == at == 0 and chunk.startswith(BOM) else 0
+        if not begun:  # the line that the byte before the block belongs to is another block's
+            skipped = chunk.find(b"\n") + 1
+            begun = skipped > 0
+            if not begun or at + skipped >= end:
+                at += len(chunk)
+                if at >= end:
+                    return
+                continue
+        last = chunk.find(b"\n", max(end - 1 - at, skipped)) + 1
+        cut = last or chunk.rfind(b"\n", skipped) + 1
+        if cut:
+            yield b"".join([*rest, chunk[skipped : cut - 1]])
+            rest, skipped = [], cut
+        if last:
+            return
+        rest.append(chunk[skipped:])
+        at += len(chunk)
+    if text := b"".join(rest):
+        yield text
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``file, block, value``: the lines of listed blocks of files."""
+
+    def lines(some: list[tuple]) -> pa.RecordBatch:
+        files, blocks, texts = [pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)]
+        cut = pc.split_pattern(texts, b"\n")
+        of = pc.list_parent_indices(cut)
+        return pa.RecordBatch.from_arrays([files.take(of), blocks.take(of), cut.flatten().view(pa.string())], names=["file", "block", "value"])
+
+    some, size = [], 0
+    for batch in batches:
+        for file, block, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            folder, _, name = file.rpartition("/")
+            fs, root = _filesystem(folder)
+            with fs.open_input_file(f"{root}/{name}") as stream:
+                for text in _pieces(stream, block, n):
+                    some.append((file, block, text))
+                    size += len(text)
+                    if size >= PIECE:
+                        yield lines(some)
+                        some, size = [], 0
+    if some:
+        yield lines(some)
+
+
 _LINES = "file string, block long, line long, odd boolean, even_record long, odd_record long, value string"
 
 
@@ -95,23 +155,35 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             even, other = even + int(begun[0][-1]), other + int(begun[1][-1])
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
+def _lines_of(spark: SparkSession, files: str | DataFrame) -> DataFrame:
+    if isinstance(files, str):
+        text = spark.read.option("lineSep", "\n").text(files).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+        return text.mapInArrow(_lines, _LINES)
+    tasks = max(spark.sparkContext.defaultParallelism, (files.agg(F.sum(F.col("bytes") + OPEN)).first()[0] or 0) // BLOCK)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(BLOCK).cast("long")))
+    blocks = files.filter("bytes > 0").select("file", starts.alias("block"), "bytes").select("file", "block", F.least(F.lit(BLOCK), F.col("bytes") - F.col("block")).alias("n"))
+    return blocks.repartition(tasks, "file", "block").mapInArrow(lambda batches: _lines(_listed(batches)), _LINES)
+
+
+def records(spark: SparkSession, files: str | DataFrame) -> DataFrame:
     """``file, record_no, value``: the records of CSV files of any size, which may hold line breaks in quotes.
 
-    Spark cuts files into blocks and lines. A first look counts quotes and records by block; their sums along a file tell
+    ``files`` is a path, whose files Spark lists on the driver, or a list of them as a table (``file, bytes``, as of ``writers.write_files``), which the driver never
+    holds: use it where there are very many. Listed files are opened by tasks through pyarrow's file systems, and aren't compressed.
+
+    Files are cut into blocks and lines. A first look counts quotes and records by block; their sums along a file tell
     for each block whether it begins inside quotes, and with which record. Lines that are a record by themselves stay where they are; only those of
     records of several lines meet, a record at a time. Quotes are those of RFC 4180: a field with one in it is quoted.
     """
-    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    lines = written(text.mapInArrow(_lines, _LINES), "csv-lines")  # files, of which there may be very many, are opened once
+    lines = written(_lines_of(spark, files), "csv-lines")  # files, of which there may be very many, are opened once
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     sizes = lines.select("file", "block", "even_record", "odd_record", quotes.alias("q")).groupBy("file", "block").agg(F.max("even_record").alias("even"), F.max("odd_record").alias("odd_begun"), F.sum("q").alias("q"))
     by = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("q").over(by), F.lit(0)) % 2 == 1
-    starts = written(sizes.withColumn("inside", inside), "csv-blocks")  # one row for each block
     begun = F.sum(F.when(F.col("inside"), F.col("odd_begun")).otherwise(F.col("even"))).over(by)
-    starts = starts.select("file", "block", "inside", F.coalesce(begun, F.lit(0)).alias("first"))
-    here = lines.join(starts, ["file", "block"])
+    starts = sizes.withColumn("inside", inside).select("file", "block", "inside", F.coalesce(begun, F.lit(0)).alias("first"))
+    starts = written(starts.filter("block > 0"), "csv-blocks")  # a file's first block begins outside of quotes, with its first record
+    here = lines.join(F.broadcast(starts), ["file", "block"], "left").withColumns({"inside": F.coalesce("inside", F.lit(False)), "first": F.coalesce("first", F.lit(0))})
     number = F.col("first") + F.when(F.col("inside"), F.col("odd_record")).otherwise(F.col("even_record")) - 1
     goes_on = F.col("odd") != F.col("inside")
     ends = (F.when(goes_on, 1).otherwise(0) + quotes) % 2 == 0
@@ -127,14 +199,14 @@ def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.list_(pa.string()))], names=["file", "record_no", "fields"])
 
 
-def assay_cells(spark: SparkSession, path: str, aid: str = r"(\d+)\D*$") -> DataFrame:
+def assay_cells(spark: SparkSession, files: str | DataFrame, aid: str = r"(\d+)\D*$") -> DataFrame:
     """``AID, row_no, pos, column, value`` from one ragged CSV per assay, whose number ``aid`` finds in the file's path.
 
-    A file of any size is read by many tasks (``records``); only the splitting of a record into its fields is Python. Fields beyond the header are dropped.
+    ``files`` is a path or a list of files (``records``). A file of any size is read by many tasks; only the splitting of a record into its fields is Python. Fields beyond the header are dropped.
     """
-    own = written(records(spark, path).mapInArrow(_fields, "file string, record_no long, fields array<string>"), "csv-fields")  # for headers and cells
+    own = written(records(spark, files).mapInArrow(_fields, "file string, record_no long, fields array<string>"), "csv-fields")  # for headers and cells
     header = own.filter("record_no = 0").select("file", F.col("fields").alias("header"))
-    cells = own.filter("record_no > 0").join(header, "file")
+    cells = own.filter("record_no > 0").join(header.hint("merge"), "file")  # a header for each file, never broadcast: stored headers are alike and far smaller than in memory
     told = cells.select(F.regexp_extract("file", aid, 1).alias("AID"), (F.col("record_no") - 1).alias("row_no"), F.posexplode(F.arrays_zip("header", "fields")).alias("pos", "c"), F.size("fields").alias("n"), F.size("header").alias("h"))
     return told.filter("pos < n and pos < h").select("AID", "row_no", "pos", F.col("c.header").alias("column"), F.col("c.fields").alias("value"))
 
